@@ -1,12 +1,68 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+A row without doc_id is known by a hash of its text between two steps of a stage. Repeated rows of one doc_id and one text stay
+repeated until the mix, which gives every row of a doc_id the same number of passes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.llm import common, decontam, mixing, neardup, queries, rules, sharding
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is among ``keys(doc_id)``."""
+    return docs.withColumn("_key", _key()).join(keys.select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what any quality rule rejects."""
+    return rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group keep the document of the smallest doc_id."""
+    found = neardup.groups(_keyed(docs))
+    return _without(docs, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more of the words are passages of the benchmark."""
+    found = decontam.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select("doc_id").distinct())
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix of sources asks for: not at all, once, or up to three times."""
+    plan = mixing.mix(docs.withColumn("doc_id", _key()).select("doc_id", "source", "text"), queries.MIX_WEIGHTS)
+    plan = plan.groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
+    taken = docs.withColumn("_key", _key()).join(plan, "_key")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put every row into a shard and number the rows of each."""
+    return sharding.assign(docs, queries.SHARD_WEIGHTS)
+
 
-STAGES = []
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+#: Shingle sets and hashes are beyond SQL here; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
