@@ -25,7 +25,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 SKETCH_BITS = 1024
 #: Documents in one block of exact comparison, and band members in one block of sketch comparison.
-SET_BLOCK, SKETCH_BLOCK = 96, 128
+SET_BLOCK, SKETCH_BLOCK = 96, 512
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
