@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts have it: \x20 and \x09 to \x0D.
@@ -41,6 +41,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(value: Column) -> Column:
+    """``value`` as the only item of a generator. A filter on the result stays above it: the optimizer would otherwise copy a costly
+    expression into the filter, and into each lambda that refers to it."""
+    return F.explode(F.array(value))
+
+
 # --- words as numbers --------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.llm import common
+
 THRESHOLD = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = r"[^\p{L}\p{N}]+"
@@ -56,32 +58,33 @@ def sizes(b: int, threshold: float) -> tuple[int, int]:
 
 def _bigrams(rows: DataFrame, words: str, name: str) -> DataFrame:
     w = F.col(words)
-    return rows.withColumn(name, F.when(F.size(w) > 1, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1))))))
+    return rows.withColumn(name, common.held(F.when(F.size(w) > 1, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))))
 
 
 def templates(spark: SparkSession, threshold: float) -> DataFrame:
     """(license, t_bigrams, b, a): each template once for each size a of passage that it admits."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, t_text string")
-    rows = _bigrams(rows.withColumn("t_words", _normal(F.col("t_text"))), "t_words", "t_bigrams").withColumn("b", F.size("t_bigrams"))
+    rows = _bigrams(rows.withColumn("t_words", common.held(_normal(F.col("t_text")))), "t_words", "t_bigrams").withColumn("b", F.size("t_bigrams"))
     low, high = F.ceil(F.col("b") * threshold / (2 - threshold) - 1e-9), F.floor(F.col("b") * (2 - threshold) / threshold + 1e-9)
     return rows.withColumn("a", F.explode(F.sequence(F.greatest(low.cast("int"), F.lit(1)), high.cast("int")))).select("template", "license", "t_bigrams", "b", "a")
 
 
 def hits(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(row columns of ``docs`` but text, passage, license, dice): each passage that reaches ``threshold``, with its best template;
-    equal ones go to the licence first in the alphabet."""
+    """(columns of ``docs`` but text, passage, license, dice): each passage that reaches ``threshold``, with its best template; of
+    equal ones the licence first in the alphabet. A passage that a row holds twice counts once."""
     text = F.col("text").cast("string")
     paragraphs = F.split(text, r"\n[ \t\r]*\n\s*")
     lines = F.split(text, r"\n")
     others = [c for c in docs.columns if c != "text"]
     cut = docs.where("text is not null").select(*others, text.alias("text"), paragraphs.alias("paragraphs"), lines.alias("lines"))
     passages = F.concat(F.array("text"), F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(F.array().cast("array<string>")), F.when(F.size("lines") > F.size("paragraphs"), F.col("lines")).otherwise(F.array().cast("array<string>")))
-    rows = cut.select(*others, F.explode(passages).alias("passage")).withColumn("words", _normal(F.col("passage")))
+    rows = cut.select(*others, F.explode(passages).alias("passage")).withColumn("words", common.held(_normal(F.col("passage"))))
     least = min(sizes(len(set(zip(t.split()[:-1], t.split()[1:], strict=True))) or 1, threshold)[0] for _, t in TEMPLATES)
     rows = _bigrams(rows.where(F.size("words") > min(least, 2)), "words", "bigrams").withColumn("a", F.size("bigrams"))
     met = rows.join(F.broadcast(templates(docs.sparkSession, threshold)), "a")
     met = met.withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold)
-    return met.select(*others, "passage", "license", "dice")
+    best = F.min(F.struct((-F.col("dice")).alias("dice"), "license")).alias("best")
+    return met.groupBy(*others, "passage").agg(best).select(*others, "passage", "best.license", (-F.col("best.dice")).alias("dice"))
 
 
 def scanned(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,14 +108,15 @@ def _quoted(text: str) -> str:
 def sql(threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for ``scanned``: every passage against every template whose size it admits, written out as plain joins."""
     values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in TEMPLATES)
-    normal = lambda x: f"list_filter(regexp_split_to_array(translate({x}, '{UPPER}', '{LOWER}'), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
-    pairs = lambda w: f"list_distinct(list_transform(range(1, len({w})), i -> {w}[i] || ' ' || {w}[i + 1]))"
+    normal = lambda x: f"list_filter(regexp_split_to_array(translate({x}, '{UPPER}', '{LOWER}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    pairs = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return rf"""
 WITH t0 AS (SELECT license, {normal("t")} AS w FROM (VALUES {values}) v(license, t)), t AS (SELECT license, {pairs("w")} AS tb FROM t0),
 cut AS (SELECT doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n\s*') AS paragraphs, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 p0 AS (SELECT doc_id, unnest([text] || (CASE WHEN len(paragraphs) > 1 THEN paragraphs ELSE [] END) || (CASE WHEN len(lines) > len(paragraphs) THEN lines ELSE [] END)) AS passage FROM cut),
-p1 AS (SELECT doc_id, {normal("passage")} AS w FROM p0), p AS (SELECT doc_id, {pairs("w")} AS pb FROM p1 WHERE len(w) > 1),
-met AS (SELECT doc_id, license, 2.0 * len(list_intersect(pb, tb)) / (len(pb) + len(tb)) AS dice FROM p JOIN t ON len(pb) <= len(tb) * (2 - {threshold}) / {threshold} + 1e-9 AND len(pb) >= len(tb) * {threshold} / (2 - {threshold}) - 1e-9),
-told AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice, count(DISTINCT license) AS n FROM met WHERE dice >= {threshold} GROUP BY doc_id)
+p1 AS (SELECT doc_id, passage, {normal("passage")} AS w FROM p0), p AS (SELECT doc_id, passage, {pairs("w")} AS pb FROM p1 WHERE len(w) > 1),
+met AS (SELECT doc_id, passage, license, 2.0 * len(list_intersect(pb, tb)) / (len(pb) + len(tb)) AS dice FROM p JOIN t ON len(pb) <= len(tb) * (2 - {threshold}) / {threshold} + 1e-9 AND len(pb) >= len(tb) * {threshold} / (2 - {threshold}) - 1e-9),
+best AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id, passage ORDER BY dice DESC, license) AS place FROM met WHERE dice >= {threshold}),
+told AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice, count(DISTINCT license) AS n FROM best WHERE place = 1 GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(licenses, '') AS licenses, CAST(coalesce(round(dice, 6), 0.0) AS DOUBLE) AS dice FROM documents d LEFT JOIN told ON d.doc_id IS NOT DISTINCT FROM told.doc_id
 """

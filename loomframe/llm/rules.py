@@ -160,4 +160,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns kept; measures stop at the first rejection."""
     order = [r for r, _, _ in ordered(docs)]
     rows = cascade(docs.select(F.struct("*").alias("_row"), "text"), order)
-    return rows.where("rejected_by is null").select("_row.*")
+    return rows.select("_row", common.held(F.col("rejected_by")).alias("rejected_by")).where("rejected_by is null").select("_row.*")

@@ -66,9 +66,10 @@ class Bags:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def read(self, column: pa.Array, twins: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(first row, counts of rows by terms, log1p of them, for each row the twins' differences)."""
-        for lo, hi, buf, offsets in common.pieces(column, 1 << 20):
+    def read(self, column: pa.Array, twins: bool = False) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """(first row, log1p of the counts of rows by terms, for each row the twins' differences)."""
+        cuts = ((at, *piece) for at in range(0, len(column), 1024) for piece in common.pieces(column.slice(at, 1024), 1 << 20))
+        for begin, lo, hi, buf, offsets in cuts:
             starts, ends, first = common.spans(buf, offsets, common.ALNUM)
             counts = np.zeros((hi - lo, max(len(self.terms), 1)), np.float32)
             kinds = term_hashes(buf, starts, ends)
@@ -85,7 +86,7 @@ class Bags:
                 for r in range(hi - lo):
                     own = [self.whole[int(words[k])] for k in known[row == r].tolist()]
                     differences.append(self._twins(counts[r], own))
-            yield lo, counts, np.log1p(counts), differences
+            yield begin + lo, np.log1p(counts), differences
 
     def _twins(self, counts: np.ndarray, own: list[tuple[int, int]]) -> np.ndarray:
         """For each way to turn the groups by one or more places, the change of the text's bag."""
@@ -98,7 +99,7 @@ class Bags:
                     col = self.columns(np.array(terms, np.uint64))
                     np.add.at(new, col[col >= 0], sign)
             out.append(np.log1p(np.maximum(new, 0)) - np.log1p(counts))
-        return np.array(out, np.float32).reshape(len(out), -1)
+        return np.array(out, np.float32).reshape(len(out), len(counts))
 
 
 @dataclass
@@ -132,7 +133,7 @@ def _design(terms: np.ndarray):
         bags = Bags(terms)
         for batch in batches:
             y = batch.column(1).to_numpy()
-            for lo, _, x, twins in bags.read(batch.column(0), twins=True):
+            for lo, x, twins in bags.read(batch.column(0), twins=True):
                 rows = [(int(y[lo + r]), x[r].astype(np.float16).tobytes(), twins[r].astype(np.float16).tobytes()) for r in range(len(x))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["y", "x", "twins"])
 
@@ -202,7 +203,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags(sent.value.terms)
         for batch in batches:
-            for lo, _, x, _ in bags.read(batch.column(1)):
+            for lo, x, _ in bags.read(batch.column(1)):
                 raw = x @ sent.value.weights + sent.value.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(x)), pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))))], ["doc_id", "score"])
 
