@@ -79,3 +79,17 @@ def hash_index(df: DataFrame, order: Column, *ties: str, by: list[str] | None =
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     out = rows.withColumn("_row", inside).join(sums, same)
     return out.withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_order", "_range", "_row", "_r", "_before", *(f"_by_{c}" for c in by))
+
+
+def scan_index(df: DataFrame, name: str = "idx") -> DataFrame:
+    """Positions of a file scan: files by name, rows as they stand in the file. The scan is staged once; one row for each split
+    comes to the driver."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    rows = staged(rows, "scan")
+    cells = rows.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).collect()
+    before, pairs = 0, []
+    for c in sorted(cells, key=lambda c: (c["_file"], c["_start"])):
+        pairs.append((c["_file"], c["_start"], before - c["_first"]))
+        before += c.n
+    shift = df.sparkSession.createDataFrame(pairs, "_file string, _start long, _shift long")
+    return rows.join(F.broadcast(shift), ["_file", "_start"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_file", "_start", "_at", "_shift")
