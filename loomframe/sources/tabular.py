@@ -214,7 +214,7 @@ def from_function(spark: SparkSession, n: int, f: Callable[[int], tuple], schema
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(int(i), *f(int(i))) for i in frame["id"]]
-            yield pd.DataFrame(rows, columns=["idx", *names])
+            yield pd.DataFrame(rows, columns=["idx", *names], dtype=object)
 
     return spark.range(n).mapInPandas(run, f"idx long, {schema}")
 
@@ -239,9 +239,9 @@ def generator(spark: SparkSession, factory: Callable[[], Iterable[tuple]], schem
                 held.append((at, *row))
                 at += 1
                 if len(held) == 1000:
-                    yield pd.DataFrame(held, columns=["idx", *names])
+                    yield pd.DataFrame(held, columns=["idx", *names], dtype=object)
                     held = []
             if held:
-                yield pd.DataFrame(held, columns=["idx", *names])
+                yield pd.DataFrame(held, columns=["idx", *names], dtype=object)
 
     return spark.range(0, 1, 1, 1).mapInPandas(run, f"idx long, {schema}")
