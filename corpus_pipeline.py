@@ -16,9 +16,14 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """(_key, _row): whole rows beside their keys, so that no column of ``docs`` can clash."""
+    return docs.select(_key().alias("_key"), F.struct("*").alias("_row"))
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key is among ``keys(doc_id)``."""
-    return docs.withColumn("_key", _key()).join(keys.select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    return _held(docs).join(keys.select(F.col("doc_id").alias("_key")), "_key", "left_anti").select("_row.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,10 +49,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix of sources asks for: not at all, once, or up to three times."""
-    plan = mixing.mix(docs.withColumn("doc_id", _key()).select("doc_id", "source", "text"), queries.MIX_WEIGHTS)
+    plan = mixing.mix(docs.select(_key().alias("doc_id"), "source", "text"), queries.MIX_WEIGHTS)
     plan = plan.groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
-    taken = docs.withColumn("_key", _key()).join(plan, "_key")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    return _held(docs).join(plan, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("_row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 def cascade(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, measure_all: bool = False) -> DataFrame:
     """``docs`` with _text, the rules' measures and rejected_by: the first rule, in the given order, that rejects the row.
 
-    A measure is null where an earlier rule has rejected the row, unless ``measure_all``. A null text counts as empty. Columns of
+    The new columns leave through a generator, so filters on them stay above. A measure is null where an earlier rule has rejected the row, unless ``measure_all``. A null text counts as empty. Columns of
     ``docs`` with the names of measures or with a leading underscore would clash: select before.
     """
     rows = _with(docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), BASE).withColumn("rejected_by", F.lit(None).cast("string"))
@@ -138,7 +138,8 @@ def cascade(docs: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, measu
         rows = _with(rows, rule.steps, None if measure_all else open_)
         rows = rows.withColumn("rejected_by", F.when(open_ & F.coalesce(rule.reject(), F.lit(False)), F.lit(rule.name)).otherwise(F.col("rejected_by")))
         rows = rows.drop(*(n for step in rule.steps for n in step if n.startswith("_")))
-    return rows.drop("_words")
+    made = [c for c in rows.columns if c not in (*docs.columns, "_words")]
+    return rows.select(*docs.columns, common.held(F.struct(*made)).alias("_made")).select(*docs.columns, "_made.*")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -160,4 +161,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns kept; measures stop at the first rejection."""
     order = [r for r, _, _ in ordered(docs)]
     rows = cascade(docs.select(F.struct("*").alias("_row"), "text"), order)
-    return rows.select("_row", common.held(F.col("rejected_by")).alias("rejected_by")).where("rejected_by is null").select("_row.*")
+    return rows.where("rejected_by is null").select("_row.*")

@@ -160,12 +160,12 @@ def solve(x: np.ndarray, y: np.ndarray, twins: np.ndarray, steps: int = 400) ->
 
 
 def fit(known: DataFrame) -> Model:
-    """The model from ``known(text, y)``, at most MAX_LABELLED rows."""
+    """The model from ``known(text, y)``, at most MAX_LABELLED rows; without any row all scores are 0."""
     known = common.staged(known, "toxicity-known")
     total = known.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = int(total.p or 0), int(total.n)
     if not n:
-        return Model(np.zeros(0, np.uint64), np.zeros(1), 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(1), -40.0)
     counts = known.select("text", "y").mapInArrow(_present, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     share = (F.col("t") + F.col("o")) / F.lit(float(n))
     z = (F.col("t") / F.lit(float(max(p, 1))) - F.col("o") / F.lit(float(max(n - p, 1)))) / F.sqrt(share * (1 - share + F.lit(1.0 / n)) * F.lit(1.0 / max(p, 1) + 1.0 / max(n - p, 1)))
