@@ -47,6 +47,8 @@ ASIDE_WORDS = {
 }
 #: Names that overrule the list above.
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body"}
+#: Names with these tell of another element (no-sidebar, has-comments), not of this one.
+ABOUT_WORDS = {"no", "has", "with", "without", "layout"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -60,9 +62,10 @@ def _is_aside(tag: str, attributes: str, depth_in_holder: int) -> bool:
     if tag in HOLDERS and "comment" not in attributes.lower():
         return False
     for m in _NAMED.finditer(attributes):
-        parts = [x.lower() for x in _PART.findall(m[1] or m[2] or m[3] or "")]
-        if any(x in ASIDE_WORDS for x in parts) and not (parts and parts[-1] in CONTENT_WORDS and parts[0] in CONTENT_WORDS):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in _PART.findall(name)]
+            if any(x in ASIDE_WORDS for x in parts) and not any(x in ABOUT_WORDS for x in parts) and not (parts[-1] in CONTENT_WORDS and parts[0] in CONTENT_WORDS):
+                return True
     return False
 
 

@@ -378,6 +378,7 @@ MENU = "<ul>" + "".join(f'<li><a href="/{k}">{text(k, 2)}</a></li>' for k in ran
     f'<body><header><p>{text(8, 20)}</p></header><main>{BODY}<div class="ad">{text(9, 60)}</div></main><aside>{text(9, 50)}</aside></body>',
     f'<body>{MENU}<article>{BODY[: len(BODY) // 4 * 0]}{BODY}<form><p>{text(9, 30)}</p><input></form><section class="comments"><p>{text(9, 80)}</p></section></article></body>',
     f'<body><div class="cookie-notice"><p>{text(9, 30)}</p></div><section>{BODY}</section><script>var x = "<p>{text(9, 40)}</p>";</script><style>p{{}}</style></body>',
+    f'<body><div class="page no-sidebar with-comments"><div class="topNav">{MENU}</div><div class="post-content">{BODY}</div><div id="comments"><p>{text(9, 40)}</p></div></div>',
     f"<body><div>{MENU}</div><table><tr><td>{BODY}</td></tr></table><div>{MENU}</div>",
 ])
 def test_main_text_of_usual_layouts(page):
