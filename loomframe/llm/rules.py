@@ -19,6 +19,8 @@ from loomframe.llm import common
 Step = dict[str, Callable[[], Column]]
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+#: Fewer repeated lines never reject a row: a short text may well end as it began.
+LEAST_DUP_LINES = 3
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ RULES = (
     ),
     Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("n_words"), ({"n_symbols": lambda: _symbols().cast("long")},), ("n_symbols",)),
     Rule(
-        "lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.col("_n_lines"),
+        "lines", lambda: (F.col("n_dup_lines") >= LEAST_DUP_LINES) & (100 * F.col("n_dup_lines") > 30 * F.col("_n_lines")),
         ({"_lines": _lines}, {"n_dup_lines": lambda: (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_n_lines": lambda: F.size("_lines")}),
         ("n_dup_lines",),
     ),
