@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomframe.errors import InvalidArgument, OutOfRange, ShapeMismatch
@@ -88,3 +89,13 @@ def repeat(df: DataFrame, times: int) -> DataFrame:
         raise InvalidArgument("repeat: times must be at least 1")
     n = df.count()
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("idx", F.col("idx") + F.col("_copy") * n).drop("_copy")
+
+
+def iterate(df: DataFrame) -> Iterator[Row]:
+    """The rows in the order of positions, one partition at a time."""
+    yield from df.orderBy("idx").toLocalIterator(prefetchPartitions=True)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Rows kept in memory or on disk after their first use."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

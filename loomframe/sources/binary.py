@@ -235,6 +235,25 @@ def wav(spark: SparkSession, path: str, frames: int | None = None, pad: float =
     return decoded(spark, path, rows, "path string, rate int, shape array<int>, input array<double>")
 
 
+def audio(spark: SparkSession, path: str, frames: int | None = None, pad: float = 0.0) -> DataFrame:
+    """(idx, path, rate, shape, input) of audio files, known by their first bytes. Only WAV can be decoded here; others are errors
+    that name their format."""
+
+    def rows(name: str, data: bytes) -> Iterator[tuple]:
+        if (kind := sniffed(data)) != "wav":
+            raise SourceError(f"{name}: no decoder for {kind} audio")
+        rate, x = load_wav(data)
+        x = fit_frames(x, frames, pad)
+        yield name, rate, list(x.shape), x.reshape(-1).astype(float).tolist()
+
+    return decoded(spark, path, rows, "path string, rate int, shape array<int>, input array<double>")
+
+
+def video(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of videos: no decoder is available."""
+    raise SourceError("video is not supported")
+
+
 def wav_bytes(x: np.ndarray, rate: int) -> bytes:
     """A PCM16 file of samples in [-1, 1]."""
     out = io.BytesIO()
@@ -306,6 +325,11 @@ MEDIA = (
 )
 
 
+def sniffed(data: bytes) -> str:
+    """The format that the first bytes show, or unknown."""
+    return next((name for at, magic, name in MEDIA if data[at : at + len(magic)] == magic), "unknown")
+
+
 def media_format(content: Column) -> Column:
     """The format that the first bytes show, or unknown."""
     out = F.lit("unknown")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +35,20 @@ def _sqlite(spark: SparkSession, path: str, query: str, label_index: int | None
 
 
 for _scheme, _opener in (
-    ("csv", tabular.csv), ("json", _json), ("jsonl", tabular.jsonl_arrays), ("npy", binary.npy), ("npz", binary.npz), ("text", tabular.text_lines), ("wav", binary.wav), ("audio", binary.wav),
+    ("csv", tabular.csv), ("json", _json), ("jsonl", tabular.jsonl_arrays), ("npy", binary.npy), ("npz", binary.npz), ("text", tabular.text_lines), ("wav", binary.wav), ("audio", binary.audio),
     ("webdataset", binary.web_dataset), ("parquet", tabular.parquet), ("feather", binary.arrow_ipc), ("ipc", binary.arrow_ipc), ("hdf5", tabular.hdf5), ("sqlite", _sqlite), ("copy", binary.copy_binary),
-    ("images", binary.image_folder), ("cifar", binary.cifar),
+    ("video", binary.video), ("images", binary.image_folder), ("cifar", binary.cifar),
 ):
     register(_scheme)(_opener)
 
 
+def load_plugin(module: str) -> list[str]:
+    """Import a module that registers sources (or transforms) of its own; the schemes that it added."""
+    before = set(SCHEMES)
+    importlib.import_module(module)
+    return sorted(set(SCHEMES) - before)
+
+
 def open_uri(spark: SparkSession, uri: str, options: dict | None = None) -> DataFrame:
     """The source that ``scheme:path`` or ``scheme://path`` names."""
     scheme, colon, path = uri.partition(":")

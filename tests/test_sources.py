@@ -117,7 +117,9 @@ def test_idx_cifar_tar_wav(spark, tmp_path):
             tar.addfile(info, io.BytesIO(body))
     assert [(r.key, r.label, r.shape) for r in rows(binary.web_dataset(spark, str(tmp_path / "s.tar")))] == [("a", 7, [2, 2, 3]), ("b", 3, [2, 2, 3])]
     (tmp_path / "w.wav").write_bytes(binary.wav_bytes(np.zeros((8, 1), np.float32), 8000))
-    assert rows(binary.wav(spark, str(tmp_path / "w.wav"), frames=10))[0].shape == [10, 1]
+    assert rows(binary.wav(spark, str(tmp_path / "w.wav"), frames=10))[0].shape == [10, 1] == rows(binary.audio(spark, str(tmp_path / "w.wav"), frames=10))[0].shape
+    with pytest.raises(SourceError, match="video"):
+        binary.video(spark, "x")
     for cls in ("cat", "dog"):
         (tmp_path / "img" / cls).mkdir(parents=True)
         (tmp_path / "img" / cls / "x.png").write_bytes(picture)
@@ -225,11 +227,14 @@ def test_pipeline_documents(spark, tmp_path):
     assert step(spark.createDataFrame([(0.5,)], "f0 double")).first().f0 == pytest.approx(0.0)
 
 
-def test_fluent_and_registry(spark, tmp_path):
+def test_fluent_and_registry(spark, tmp_path, monkeypatch):
     (tmp_path / "d.csv").write_text("x,y\n1,0\n2,1\n3,0\n4,1\n")
     chain = fluent.from_csv(spark, str(tmp_path / "d.csv")).filter("label = 1").shuffle(3).prefetch(2).batches(2)
     assert sorted(next(iter(chain.build())).inputs) == [[2], [4]]
     assert registry.open_uri(spark, f"csv://{tmp_path}/d.csv").count() == 4
+    (tmp_path / "loom_plugin_demo.py").write_text("from loomframe.sources.registry import register\n\n\n@register('ten')\ndef ten(spark, path):\n    return spark.range(10)\n")
+    monkeypatch.syspath_prepend(tmp_path)
+    assert registry.load_plugin("loom_plugin_demo") == ["ten"] and registry.open_uri(spark, "ten:x").count() == 10
     for bad in (lambda: registry.open_uri(spark, "nope:x"), lambda: registry.register("csv")(tabular.csv)):
         with pytest.raises(InvalidArgument):
             bad()
