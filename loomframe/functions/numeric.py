@@ -1,4 +1,4 @@
-"""Element-wise functions with the reference semantics for NaN, infinities and rounding.
+"""Element-wise functions with fixed rules for NaN, infinities and rounding.
 
 NaN means missing: no comparison matches it and statistics leave it out. Spark orders NaN above all numbers and treats it as equal to
 itself, so each function guards it.
