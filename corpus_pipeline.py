@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-A row without doc_id is known by a hash of its text between two steps of a stage. Repeated rows of one doc_id and one text stay
-repeated until the mix, which gives every row of a doc_id the same number of passes.
+Near duplicates are told apart row by row, so of repeated rows with words one stays, with or without doc_id. In the later stages a
+row without doc_id is known by a hash of its text between two steps, and the mix gives every row of a doc_id the same number of passes.
 """
 
 from __future__ import annotations
@@ -36,9 +36,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group keep the document of the smallest doc_id."""
-    found = neardup.groups(_keyed(docs))
-    return _without(docs, found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")))
+    """Of each near-duplicate group keep one row, that of the smallest doc_id; rows without doc_id come last. Of rows that share it the
+    one with the least hash stays, and rows that are equal throughout are told apart by a number of their own."""
+    rows = common.staged(docs.select(F.monotonically_increasing_id().alias("_n"), F.struct("*").alias("_row")), "pipeline-numbered")
+    found = neardup.groups(rows.select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text")))
+    doc_id = F.col("_row.doc_id").cast("long")
+    order = rows.select("_n", F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64("_row").alias("hash"), "_n").alias("_order"))
+    first = found.join(order, F.col("doc_id") == F.col("_n")).groupBy("component_id").agg(F.min("_order").alias("_order"))
+    return rows.join(first.select("_order._n"), "_n", "left_semi").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

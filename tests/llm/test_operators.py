@@ -421,6 +421,15 @@ def test_pipeline_stages_take_odd_rows(spark, docs, empty, tmp_path):
         assert (now.count() > 0) == (table is docs)
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    base, other = text(1, 80), text(2, 80)
+    rows = [*[(None, base, "a")] * 50, *[(7, base, "a")] * 3, (7, other, "b"), (5, other, "c"), (9, text(3, 80), "d"), *[(9, text(3, 80), "d")] * 4, (None, text(4, 80), "e"), (None, text(4, 80), "f"), (None, None, "g"), (None, " ", "h"), (None, " ", "h")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), SF)
+    known = sorted((r.doc_id, r.text, r.source) for r in out.collect() if r.doc_id is not None)
+    assert out.columns == ["doc_id", "text", "source"] and known == [(5, other, "c"), (7, base, "a"), (9, text(3, 80), "d")]
+    assert sorted(r.text or "" for r in out.where("doc_id is null").collect()) == ["", " ", " ", text(4, 80)]
+
+
 @needs_data
 def test_pipeline_like_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
