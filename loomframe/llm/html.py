@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|annotation-xml|annotation|iframe|object|canvas|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
@@ -50,9 +50,17 @@ CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body"}
 #: Names with these tell of another element (no-sidebar, has-comments), not of this one.
 ABOUT_WORDS = {"no", "has", "with", "without", "layout"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADING = re.compile(r"\s*<(h[1-6])\b[^>]*>(.*?)</\1", re.S | re.I)
 
 
-def _is_aside(tag: str, attributes: str, depth_in_holder: int) -> bool:
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"[^\W_]+", html.unescape(re.sub(r"<[^>]*>", "", text)).lower()))
+
+
+def _is_aside(tag: str, attributes: str, depth_in_holder: int, source: str = "", at: int = 0) -> bool:
+    """``source`` from ``at`` on is what the element holds. An id or aria-label inside a holder, of a section, or made from the heading
+    that follows counts only if all its words are listed; a heading is never aside by its name."""
     if tag in ASIDE or tag == "header" and not depth_in_holder:
         return True
     if not attributes or tag in ("body", "html"):
@@ -61,8 +69,15 @@ def _is_aside(tag: str, attributes: str, depth_in_holder: int) -> bool:
         return True
     if tag in HOLDERS and "comment" not in attributes.lower():
         return False
+    if tag in HEADINGS:
+        return False
     for m in _NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind in ("id", "aria-label") and not all(x.lower() in ASIDE_WORDS for x in _PART.findall(value)):
+            first = _HEADING.match(source, at)
+            if depth_in_holder or tag == "section" or first and _slug(first[2]) == _slug(value):
+                continue
+        for name in value.split():
             parts = [x.lower() for x in _PART.findall(name)]
             if any(x in ASIDE_WORDS for x in parts) and not any(x in ABOUT_WORDS for x in parts) and not (parts[-1] in CONTENT_WORDS and parts[0] in CONTENT_WORDS):
                 return True
@@ -144,7 +159,7 @@ class Page:
                 self.events.append(("tag", name))
             if name in VOID or (attributes or "").endswith("/"):
                 continue
-            off = _is_aside(name, attributes or "", holders)
+            off = _is_aside(name, attributes or "", holders, source, at)
             holder = name in HOLDERS and not off and not aside
             self.held |= holder
             stack.append((name, off, holder))

@@ -385,6 +385,25 @@ def test_main_text_of_usual_layouts(page):
     assert html.main_text(page).split("\n\n") == PARAGRAPHS
 
 
+@pytest.mark.parametrize("part", [
+    '<section id="related-work"><h2>Related work</h2><p>{}</p></section>', '<section id="search-algorithms"><h2>Search algorithms</h2><p>{}</p></section>', '<h2 id="notice-period">Notice period</h2><p>{}</p>',
+    '<div aria-label="Notice of the period"><h2>Notice of the period</h2><p>{}</p></div>', '<h2 class="menu">Menu</h2><p>{}</p>',
+])
+def test_main_text_keeps_sections_named_by_their_headings(part):
+    part = part.format(text(20, 40))
+    want = [*PARAGRAPHS, re.search("<h2.*?>(.*?)</h2>", part)[1], text(20, 40), text(21, 40)]
+    for page in ("<article>{}</article>", '<div id="content">{}</div>'):
+        page = f"<html><body><nav>{MENU}</nav>{page.format(f'{BODY}{part}<p>{text(21, 40)}</p>')}<footer>{text(9, 12)}</footer></body></html>"
+        assert html.main_text(page).split("\n\n") == want
+    for name in ("comments", "related", "cookie-notice"):
+        assert html.main_text(f'<article>{BODY}<section id="{name}"><p>{text(9, 40)}</p></section></article>').split("\n\n") == PARAGRAPHS
+
+
+def test_main_text_keeps_math():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+    assert html.main_text(f"<article><p>let {math} hold</p></article>") == "let x=2 hold"
+
+
 def test_main_text_of_odd_pages(spark):
     assert html.main_text("<article><h1>A &amp; B</h1><p>x\n  y&nbsp;z<br>q <b>bold</b></p><!-- <p>no</p> --></article>") == "A & B\n\nx y z q bold"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav><a>only</a></nav>") == ""
