@@ -88,7 +88,7 @@ class Page:
     """The page as a sequence: blocks of text with their word class, and the tags between them."""
 
     def __init__(self, source: str):
-        #: ("tag", name) or ("text", index into blocks)
+        #: ("tag", name), ("held", name) for a tag inside a holder, or ("text", index into blocks)
         self.events: list[tuple[str, object]] = []
         #: [pieces of text, words in links, words not in links, inside a holder]
         self.blocks: list[list] = []
@@ -146,7 +146,7 @@ class Page:
                     continue
                 close(at_open)
                 if not aside:
-                    self.events.append(("tag", name))
+                    self.events.append(("held" if holders else "tag", name))
                 continue
             if name in BLOCKS:
                 flush()
@@ -156,7 +156,7 @@ class Page:
             elif name in ("br", "td", "th", "img", "input"):
                 add(" ")
             if not aside:
-                self.events.append(("tag", name))
+                self.events.append(("held" if holders else "tag", name))
             if name in VOID or (attributes or "").endswith("/"):
                 continue
             off = _is_aside(name, attributes or "", holders, source, at)
@@ -186,7 +186,7 @@ def labelled_pages() -> Iterator[tuple[str, set[str]]]:
         return " ".join(f"{w}{mark}" if k == 0 else w for k, w in enumerate(itertools.islice(itertools.cycle(_SPACES), n)))
 
     serial = itertools.count()
-    for layout, shape, length in itertools.product(("article", "main", "div", "section", "table"), range(4), (6, 25, 70)):
+    for layout, shape, length in itertools.product(("article", "main", "div", "section", "table"), range(8), (6, 25, 70)):
         mark = f"q{next(serial)}"
         body = [words(5, f"{mark}h"), *(words(length + 7 * k, f"{mark}p{k}") for k in range(2 + shape))]
         inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{x}</p>" if k % 3 else f"<p><b>{x}</b><br></p>" for k, x in enumerate(body[1:]))
@@ -196,6 +196,23 @@ def labelled_pages() -> Iterator[tuple[str, set[str]]]:
         if shape == 2:
             body.append(words(14, f"{mark}c"))
             inner += f"<blockquote><p>{body[-1]}</p></blockquote>"
+        if shape == 4:
+            body.append(words(40, f"{mark}i"))
+            inner += "<p>" + " ".join(f'<a href="/{k}">{w}</a>' if k % 8 == 4 else w for k, w in enumerate(body[-1].split())) + "</p>"
+        if shape == 5:
+            cells = [f"{mark}{k}" for k in range(12)]
+            body += cells
+            inner += "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2], strict=True)) + f"</table><p>{words(20, mark + 'e')}</p>"
+            body.append(words(20, f"{mark}e"))
+        if shape == 6:
+            items = [words(3, f"{mark}j{k}") for k in range(8)]
+            body += items
+            inner += "<ul>" + "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(items)) + f"</ul><p>{words(20, mark + 'e')}</p>"
+            body.append(words(20, f"{mark}e"))
+        if shape == 7:
+            items = [f"{mark}w{k}" for k in range(48)]
+            body += items
+            inner += "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         links = lambda n, m: "<ul>" + "".join(f'<li><a href="/{k}">{words(2, f"{m}{k}")}</a></li>' for k in range(n)) + "</ul>"
         menu = f"<div>{links(6, mark + 'm')}</div>"
         low = f"<div><p>{words(8, mark + 'f')}</p>{links(4, mark + 'g')}</div>"
@@ -214,7 +231,7 @@ def weights() -> dict[str, float]:
         own = [k for k, (kind, x) in enumerate(page.events) if kind == "text" and page.blocks[x][0] in body]
         for k, (kind, x) in enumerate(page.events):
             to = inside if own[0] <= k <= own[-1] else outside
-            if kind == "tag":
+            if kind != "text":
                 to[f"<{x}>"] += 1
             else:
                 block = page.blocks[x]
@@ -235,6 +252,8 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     best, total, begin, span = 0.0, 0.0, 0, (0, 0)
     for k, (kind, x) in enumerate(page.events):
+        if kind == "held":
+            continue  # a holder says more than the tags in it
         if kind == "tag":
             total += score.get(f"<{x}>", score["other"])
         else:

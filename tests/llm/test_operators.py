@@ -399,6 +399,28 @@ def test_main_text_keeps_sections_named_by_their_headings(part):
         assert html.main_text(f'<article>{BODY}<section id="{name}"><p>{text(9, 40)}</p></section></article>').split("\n\n") == PARAGRAPHS
 
 
+LISTED = {
+    "table": ("<table>" + "".join(f"<tr><td>row{k}</td><td>{k}</td></tr>" for k in range(20)) + "</table>", [x for k in range(20) for x in (f"row{k} {k}",)]),
+    "links": ("<ul>" + "".join(f'<li><a href="/{k}">link{k}</a></li>' for k in range(12)) + "</ul>", [f"link{k}" for k in range(12)]),
+    "items": ("<ul>" + "".join(f"<li>item{k}</li>" for k in range(12)) + "</ul>", [f"item{k}" for k in range(12)]),
+}
+
+
+@pytest.mark.parametrize("kind", LISTED)
+@pytest.mark.parametrize("holder", ["article", "main"])
+def test_main_text_keeps_lists_and_tables_of_a_holder(kind, holder):
+    source, want = LISTED[kind]
+    lead = f"<h1>Head</h1><p>{text(30, 30)}</p>"
+    for inner, parts in ((lead + source, ["Head", text(30, 30), *want]), (lead + source + BODY, ["Head", text(30, 30), *want, *PARAGRAPHS]), (source + BODY, want + PARAGRAPHS)):
+        assert html.main_text(f"<html><body><nav>{MENU}</nav><div>{MENU}</div><{holder}>{inner}</{holder}><div>{MENU}</div></body></html>").split("\n\n") == parts
+
+
+def test_main_text_keeps_links_lists_and_tables_of_plain_pages():
+    linked = " ".join(f'<a href="/{k}">{w}</a>' if k % 10 == 5 else w for k, w in enumerate(text(31, 40).split()))
+    for inner, want in ((f"<p>{linked}</p>{BODY}", [text(31, 40), *PARAGRAPHS]), (f"{BODY}<p>{linked}</p>", [*PARAGRAPHS, text(31, 40)]), *((BODY + LISTED[k][0], PARAGRAPHS + LISTED[k][1]) for k in ("table", "items"))):
+        assert html.main_text(f'<html><body><div>{MENU}</div><div id="content">{inner}</div><div>{MENU}</div></body></html>').split("\n\n") == want
+
+
 def test_main_text_keeps_math():
     math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
     assert html.main_text(f"<article><p>let {math} hold</p></article>") == "let x=2 hold"
