@@ -293,8 +293,37 @@ def test_rules_measure_like_brute_force_and_order_never_changes_the_verdict(docs
     assert kept(rules.RULES) == kept(rules.RULES[::-1]) == sorted(map(str, (r.doc_id for r in out if r.kept))) == sorted(map(str, (r.doc_id for r in rules.accepted(docs).collect())))
     assert rules.accepted(docs).columns == docs.columns
     assert rules.judged(empty).count() == rules.accepted(empty).count() == 0
-    plan = rules.accepted(docs)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("split(_text") <= 2 and "Python" not in plan
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (rules.accepted(docs), rules.judged(docs)):
+        assert len(re.findall(r"regexp_extract_all\(_text#\d+, \[\^", plan(df))) == 1 and "Python" not in plan(df)  # words are cut once
+    later = rules.cascade(docs.select("doc_id", "text"), [rules.RULES[0], rules.RULES[3]])
+    assert re.search(r"CASE WHEN isnull\(rejected_by#\d+\) THEN [^\n]*AS n_dup_lines#", plan(later))  # measures stand under the condition
+    assert re.search(r"CASE WHEN isnull\(rejected_by#\d+\) THEN [^\n]*\[!\?\]", plan(rules.judged(docs)))  # so do those of the query that it doesn't return
+
+
+def test_cascade_stops_at_the_first_rejection_in_the_estimated_order(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    order = [(r.name, w, n) for r, w, n in rules.ordered(docs)]
+    assert order == [(r.name, w, n) for r, w, n in rules.ordered(docs.repartition(2))] and sorted(r.name for r in rules.RULES) == sorted(x[0] for x in order)
+    assert [n / w for _, w, n in order] == sorted((n / w for _, w, n in order), reverse=True)
+
+    def rejects(t):
+        n, chars, symbols, again, covered = brute_measures(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        return {
+            "too_short": n < 20, "repeats": 100 * covered > 30 * n, "symbols": 10 * symbols > n, "lines": again >= 3 and 100 * again > 30 * lines,
+            "word_length": chars < 2 * n or chars > 15 * n, "shouting": 10 * len(re.findall("[!?]", t or "")) > 3 * n,
+        }
+
+    for name, _, share in order:  # fewer rows than the sample holds: the shares are those of the whole table
+        assert share == pytest.approx(sum(rejects(t)[name] for _, t in rows) / len(rows))
+    want = [next((name for name, _, _ in order if rejects(t)[name]), None) for _, t in rows]
+    out = rules.judged(docs).collect()
+    assert sorted(map(str, zip((i for i, _ in rows), want, strict=True))) == sorted(str((r.doc_id, r.rejected_by)) for r in out) and all(r.kept == (r.rejected_by is None) for r in out)
+    stopped = rules.cascade(docs.select("doc_id", "text"), [r for r, _, _ in rules.ordered(docs)]).where("rejected_by is not null")
+    last = order[-1][0]
+    measures = next(r.measures for r in rules.RULES if r.name == last)
+    assert not measures or stopped.where(f"rejected_by <> '{last}' and {measures[0]} is not null").count() == 0
 
 
 # --- 7 near duplicates -------------------------------------------------------------------------------------------
