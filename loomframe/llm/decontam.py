@@ -16,25 +16,31 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import common
 
 WINDOW = 13
-#: Test items are searched in blocks of at most this many bytes of text, each broadcast on its own; an index for more distinct terms
-#: than this many bytes of hashes holds every term of the corpus.
-BLOCK_BYTES = 32 << 20
-INDEX = "shard long, doc_ids binary, doc_nulls binary, n_words binary, terms binary, ends binary, positions binary"
+#: Test items are searched in blocks of at most this many bytes of text, one block broadcast at a time; an index for more distinct
+#: terms than this many bytes of hashes holds every term of the corpus.
+BLOCK_BYTES = 4 << 20
+INDEX = "shard long, doc_ids binary, n_words binary, terms binary, ends binary, positions binary"
+
+
+def _packed(ids: pa.Array) -> bytes:
+    """The documents' ids, of whatever type, as an Arrow stream."""
+    batch = pa.RecordBatch.from_arrays([ids], ["doc_id"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as to:
+        to.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _index(terms: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
-            nulls = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, buf, offsets in common.pieces(batch.column(1)):
                 starts, ends, first = common.spans(buf, offsets, common.ALNUM)
                 words = common.word_hashes(buf, starts, ends)
@@ -47,16 +53,17 @@ def _index(terms: np.ndarray | None):
                 order = np.argsort(words, kind="stable")
                 words, place = words[order], place[order]
                 edge = np.flatnonzero(np.concatenate([words[1:] != words[:-1], [True]])) + 1 if len(words) else np.zeros(0, np.int64)
-                row = [[shard], [ids[lo:hi].tobytes()], [nulls[lo:hi].tobytes()], [counts.astype(np.int64).tobytes()], [words[edge - 1].tobytes()], [edge.astype(np.int64).tobytes()], [place.astype(np.int32).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["shard", "doc_ids", "doc_nulls", "n_words", "terms", "ends", "positions"])
+                row = [[shard], [_packed(batch.column(0).slice(lo, hi - lo))], [counts.astype(np.int64).tobytes()], [words[edge - 1].tobytes()], [edge.astype(np.int64).tobytes()], [place.astype(np.int32).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], ["shard", "doc_ids", "n_words", "terms", "ends", "positions"])
                 shard += 1
 
     return run
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """The staged index of ``docs(doc_id, text)``: one row a shard. ``terms``: the only term hashes to keep; None keeps all."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """The staged index of ``docs(doc_id, text)``, doc_id of any type: one row a shard. ``terms``: the only term hashes to keep; None
+    keeps all."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sent = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +74,13 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
 
 @dataclass
 class Phrases:
-    """Distinct windows of test items, grouped by width; ``owners`` names the items of each."""
+    """Distinct windows of test items, grouped by width; ``owners`` names the items of each. Windows of a width stand in the order of
+    their anchors, the term of each that the fewest windows hold, and ``anchors`` says where each term's begin."""
 
     terms: np.ndarray
     windows: dict[int, np.ndarray] = field(default_factory=dict)
     owners: dict[int, list[list[str]]] = field(default_factory=dict)
+    anchors: dict[int, np.ndarray] = field(default_factory=dict)
 
 
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
@@ -95,15 +104,23 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
                 found.setdefault(width, {}).setdefault(words[k : k + width].tobytes(), set()).add(str(name))
     rows = {w: np.frombuffer(b"".join(d), dtype=np.uint64).reshape(-1, w) for w, d in found.items()}
     terms = np.unique(np.concatenate([r.ravel() for r in rows.values()])) if rows else np.zeros(0, np.uint64)
-    return Phrases(terms, {w: np.searchsorted(terms, r) for w, r in rows.items()}, {w: [sorted(s) for s in d.values()] for w, d in found.items()})
+    out = Phrases(terms)
+    for width, hashes in rows.items():
+        held = np.searchsorted(terms, hashes).astype(np.int32)
+        often = np.bincount(held.ravel(), minlength=len(terms))
+        anchor = held[np.arange(len(held)), often[held].argmin(axis=1)]
+        order = np.argsort(anchor, kind="stable")
+        owners = [sorted(s) for s in found[width].values()]
+        out.windows[width], out.owners[width] = held[order], [owners[k] for k in order.tolist()]
+        out.anchors[width] = np.searchsorted(anchor[order], np.arange(len(terms) + 1))
+    return out
 
 
 class Shard:
     """One row of the index, opened."""
 
     def __init__(self, row: dict, terms: np.ndarray):
-        self.ids = np.frombuffer(row["doc_ids"], np.int64)
-        self.nulls = np.frombuffer(row["doc_nulls"], bool)
+        self.ids = pa.ipc.open_stream(row["doc_ids"]).read_all().column(0).combine_chunks()
         self.n_words = np.frombuffer(row["n_words"], np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.n_words + 1)])
         own, self.ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int64)
@@ -117,9 +134,13 @@ class Shard:
         k = self.slot[term]
         return self.positions[self.ends[k - 1] if k else 0 : self.ends[k]]
 
-    def present(self, windows: np.ndarray) -> list[int]:
-        """The windows whose terms all occur in this shard."""
-        return np.flatnonzero((self.sizes[windows] > 0).all(axis=1)).tolist()
+    def present(self, p: Phrases, width: int) -> list[int]:
+        """The windows whose terms all occur in this shard, among those whose anchor does."""
+        edge = p.anchors[width]
+        known = np.flatnonzero((self.sizes > 0) & (edge[1:] > edge[:-1]))
+        size = edge[known + 1] - edge[known]
+        some = np.arange(size.sum()) + np.repeat(edge[known] - (np.cumsum(size) - size), size)
+        return some[(self.sizes[p.windows[width][some]] > 0).all(axis=1)].tolist()
 
     def exact(self, window: np.ndarray) -> np.ndarray:
         """Positions at which the phrase begins."""
@@ -177,22 +198,22 @@ def _matches(sent, within: int | None):
         for _, shard in _shards(batches, p.terms):
             out = []
             for width, windows in p.windows.items():
-                for w in shard.present(windows):
+                for w in shard.present(p, width):
                     spans = [(b, b + width) for b in shard.exact(windows[w]).tolist()] if within is None else shard.near(windows[w], within)
                     for begin, end in spans:
                         d = int(np.searchsorted(shard.base, begin, side="right")) - 1
-                        out += [(None if shard.nulls[d] else int(shard.ids[d]), item, int(begin - shard.base[d]), int(end - begin)) for item in p.owners[width][w]]
+                        out += [(shard.ids[d].as_py(), item, int(begin - shard.base[d]), int(end - begin)) for item in p.owners[width][w]]
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "start", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (shard.ids.type, pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "start", "length"])
 
     return run
 
 
-def matches(index: DataFrame, items: list[tuple[object, str | None]], window: int = WINDOW, within: int | None = None) -> DataFrame:
+def matches(index: DataFrame, items: list[tuple[object, str | None]], window: int = WINDOW, within: int | None = None, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, start, length) of each occurrence of a window; with ``within``, of each shortest span of at most so many
     words that holds the window's words in any order. Positions count words from 0."""
     sent = index.sparkSession.sparkContext.broadcast(phrases(items, window))
-    return index.mapInArrow(_matches(sent, within), "doc_id long, item_id string, start long, length long")
+    return index.mapInArrow(_matches(sent, within), f"doc_id {id_type}, item_id string, start long, length long")
 
 
 def _covered(sent):
@@ -205,7 +226,7 @@ def _covered(sent):
             step = np.zeros(int(shard.base[-1]) + 1, np.int32)
             items: dict[int, set[str]] = {}
             for width, windows in p.windows.items():
-                for w in shard.present(windows):
+                for w in shard.present(p, width):
                     begin = shard.exact(windows[w])
                     if len(begin):
                         np.add.at(step, begin, 1)
@@ -219,7 +240,7 @@ def _covered(sent):
             spans = [None if first[d] == first[d + 1] else np.stack([begins[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]], axis=1).ravel() - shard.base[d] for d in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), pa.array(shard.ids, mask=shard.nulls), pa.array(shard.n_words),
+                    pa.array([number] * n, pa.int64()), pa.array(np.arange(n)), shard.ids, pa.array(shard.n_words),
                     pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
                 ],
                 ["shard", "row", "doc_id", "n_words", "spans", "items"],
@@ -228,7 +249,7 @@ def _covered(sent):
     return run
 
 
-COVERED = "shard long, row long, doc_id long, n_words long, spans array<long>, items array<string>"
+COVERED = "shard long, row long, doc_id {}, n_words long, spans array<long>, items array<string>"
 
 
 def _merged(spans: list[int]) -> list[int]:
@@ -267,25 +288,55 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tup
     yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row for each row of ``docs(doc_id, text)``.
 
     Words are runs of ASCII letters, digits and all other non-ASCII characters, with A-Z lower-cased. A document word inside any
     occurrence of an item's window is hit; contaminated if any is and they are a twentieth of the words. A null or empty text has no
     words; items without id or words match nothing; repeated rows and null doc_ids each give their own row; other columns are
-    ignored. Several blocks of items are searched one after the other in the same index, and their spans merged for each document.
+    ignored. ``key``: what stands for doc_id, of any type. Several blocks of items are searched one after the other in the same
+    index, each result written before the next block is broadcast, and their spans merged for each document.
     """
     spark = docs.sparkSession
-    terms, blocks, size = np.zeros(0, np.uint64), [], 0
+    docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    covered = COVERED.format(id_type)
+    terms, blocks, size, first = np.zeros(0, np.uint64), 0, 0, None
     for block in item_blocks(items, block_bytes):
         p = phrases(block, window)
-        blocks.append(spark.sparkContext.broadcast(p))
+        first = p if first is None else first
+        blocks += 1
         size += p.terms.nbytes
         terms = np.union1d(terms, p.terms) if size <= block_bytes else terms
     index = build_index(docs, terms if size <= block_bytes else None)
-    found = index.mapInArrow(_covered(blocks[0]), COVERED)
-    if len(blocks) > 1:
-        for sent in blocks[1:]:
-            found = found.unionByName(index.mapInArrow(_covered(sent), COVERED))
+    if blocks == 1:
+        found = index.mapInArrow(_covered(spark.sparkContext.broadcast(first)), covered)
+    else:
+        found = None
+        for block in item_blocks(items, block_bytes):
+            sent = spark.sparkContext.broadcast(phrases(block, window))
+            part = common.staged(index.mapInArrow(_covered(sent), covered), "decontam-block")
+            sent.destroy()
+            found = part if found is None else found.unionByName(part)
         found = found.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(_summed, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(_summed, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+#: DuckDB SQL for ``contamination`` with windows of WINDOW words.
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, w, least({WINDOW}, len(w)) AS width
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0
+),
+items AS (SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS told FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM b)),
+windows AS (SELECT rid, width, i, array_to_string(w[i:i + width - 1], ' ') AS told FROM (SELECT rid, w, width, unnest(range(1, CAST(len(w) - width + 2 AS BIGINT))) AS i FROM d, (SELECT DISTINCT width FROM b))),
+met AS (SELECT rid, width, i, item_id FROM windows JOIN items USING (width, told)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + width)) AS p FROM met) GROUP BY rid),
+named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM met GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""

@@ -9,8 +9,8 @@ more: documents in hash order until the words are reached.
 
 from __future__ import annotations
 
-import heapq
 import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,69 +53,88 @@ def targets(sizes: dict[object, int], weights: list[float], most: float = 3.0) -
 
 
 def route(patterns: dict[Pattern, int], quotas: dict[object, int], costs: list[int]) -> dict[tuple[Pattern, object], int]:
-    """Words that each pattern gives each of its sources, by successive cheapest paths.
+    """Words that each pattern gives each of its sources: the cheapest of the largest flows.
 
     Arcs: start to pattern, one for each pass with the pattern's size as capacity and ``costs[k]`` a word; pattern to each of its
-    sources; source to end with the quota. Quotas that cannot be reached are filled as far as they can be.
+    sources; source to end with the quota. Only first arcs cost anything, so a cheapest augmenting path is any path whose first arc
+    is cheapest: passes are opened in the order of their costs, and after each the flow is augmented until no path is left, by
+    blocking flows along shortest paths. Quotas that cannot be reached are filled as far as they can be.
     """
-    nodes: dict[object, int] = {"start": 0, "end": 1}
-    arcs: list[list[int]] = []  # to, capacity left, cost; an arc's reverse is its index ^ 1
-    out: list[list[int]] = [[], []]
-
-    def node(x: object) -> int:
-        if x not in nodes:
-            nodes[x] = len(nodes)
-            out.append([])
-        return nodes[x]
-
-    def arc(a: int, b: int, room: int, cost: int) -> int:
-        out[a].append(len(arcs))
-        arcs.append([b, room, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    routes: dict[tuple[Pattern, object], int] = {}
-    for p, size in patterns.items():
-        for cost in costs:
-            arc(0, node(("p", p)), size, cost)
-        for s in p:
-            if s in quotas:
-                routes[p, s] = arc(node(("p", p)), node(("s", s)), size * len(costs), 0)
-    for s, quota in quotas.items():
-        arc(node(("s", s)), 1, quota, 0)
-    potential = [0] * len(out)
-    while True:
-        far: list[float] = [float("inf")] * len(out)
-        via = [-1] * len(out)
-        far[0], heap = 0, [(0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
+    names = list(patterns)
+    member = [[s for s in p if s in quotas] for p in names]
+    users: dict[object, list[int]] = {s: [] for s in quotas}
+    for i, own in enumerate(member):
+        for s in own:
+            users[s].append(i)
+    flow = {(i, s): 0 for i, own in enumerate(member) for s in own}
+    left, room = dict(quotas), [0] * len(names)
+    for _ in sorted(costs):
+        room = [r + patterns[p] for r, p in zip(room, names, strict=True)]
+        while _augmented(member, users, flow, left, room):
+            pass
+    return {(names[i], s): f for (i, s), f in flow.items()}
+
+
+def _augmented(member: list[list], users: dict[object, list[int]], flow: dict[tuple[int, object], int], left: dict[object, int], room: list[int]) -> bool:
+    """Push a blocking flow along the shortest paths from patterns with room to sources with quota left; False if there is no path.
+
+    A path goes from a pattern to a source and, against words that another pattern gives that source, back to that pattern.
+    """
+    starts = [i for i, own in enumerate(member) if own and room[i] > 0]
+    depth: dict[object, int] = {("p", i): 0 for i in starts}
+    now, reached, d = starts, False, 0
+    while now and not reached:
+        met = []
+        for i in now:
+            for s in member[i]:
+                if ("s", s) not in depth:
+                    depth["s", s] = d + 1
+                    met.append(s)
+                    reached |= left[s] > 0
+        now = []
+        for s in [] if reached else met:
+            for i in users[s]:
+                if flow[i, s] > 0 and ("p", i) not in depth:
+                    depth["p", i] = d + 2
+                    now.append(i)
+        d += 2
+    if not reached:
+        return False
+    tried: dict[object, int] = {}
+    for first in starts:
+        path: list[tuple[str, object]] = [("p", first)]
+        while path and room[first] > 0:
+            kind, x = path[-1]
+            if kind == "s" and left[x] > 0:
+                back = [(path[k + 1][1], path[k][1]) for k in range(1, len(path) - 1, 2)]
+                push = min([room[first], left[x], *(flow[a] for a in back)])
+                room[first] -= push
+                left[x] -= push
+                for a in back:
+                    flow[a] -= push
+                for k in range(0, len(path), 2):
+                    flow[path[k][1], path[k + 1][1]] += push
+                path = [("p", first)]
                 continue
-            for k in out[a]:
-                b, room, cost = arcs[k]
-                if room > 0 and (new := d + cost + potential[a] - potential[b]) < far[b]:
-                    far[b], via[b] = new, k
-                    heapq.heappush(heap, (new, b))
-        if far[1] == float("inf"):
-            return {r: arcs[k ^ 1][1] for r, k in routes.items()}
-        potential = [p + (f if f < float("inf") else 0) for p, f in zip(potential, far, strict=True)]
-        push, at = None, 1
-        while at:
-            push = arcs[via[at]][1] if push is None else min(push, arcs[via[at]][1])
-            at = arcs[via[at] ^ 1][0]
-        at = 1
-        while at:
-            arcs[via[at]][1] -= push
-            arcs[via[at] ^ 1][1] += push
-            at = arcs[via[at] ^ 1][0]
+            ways = member[x] if kind == "p" else users[x]
+            to = "s" if kind == "p" else "p"
+            k = tried.get((kind, x), 0)
+            while k < len(ways) and not (depth.get((to, ways[k])) == depth[kind, x] + 1 and (kind == "p" or flow[ways[k], x] > 0)):
+                k += 1
+            tried[kind, x] = k
+            if k < len(ways):
+                path.append((to, ways[k]))
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
+    return True
 
 
 def _boundary(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows of the one range that holds a pattern's boundary: in hash order, each is taken while its words still fit; what then is
     left goes to the smallest other row if that brings the sum nearer."""
-    pdf = pdf.sort_values(["hash", "doc_id", "size"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["hash", "size"], kind="stable", na_position="last")
     left, more = int(pdf["left"].iloc[0]), []
     for size in pdf["size"]:
         more.append(int(0 < size <= left))
@@ -127,17 +146,19 @@ def _boundary(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["doc_id", "key", "size", "base", "more"]]
 
 
-def mix(docs: DataFrame, weights: list[float], sources: Column | None = None, max_passes: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], sources: Column | None = None, max_passes: int = 3, seed: int = 17, key: Column | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken), one row for each row of ``docs``.
 
     ``docs`` has doc_id and text, and a source, or with ``sources`` an array of them. size counts words; a null or empty text has none
     and is never repeated. taken is repeats times size, repeats at most ``max_passes``. For a row of several sources source_size and
     target are summed over them, and source is their list joined with commas. A null source is a source of its own, last in order.
-    Rows that share doc_id are chosen by their own; equal rows in the boundary range may differ in repeats by one, in a fixed order.
+    The order in which rows are taken hashes doc_id and text, so rows that share a doc_id are chosen apart; equal rows in the boundary
+    range may differ in repeats by one. ``key``: what stands for doc_id, of any type that hashes.
     """
     member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), member.alias("pattern"), n_words(text).alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("hash"))
+    key = F.col("doc_id").cast("long") if key is None else key
+    rows = docs.select(key.alias("doc_id"), member.alias("pattern"), n_words(text).alias("size"), F.xxhash64(key, text, F.lit(seed)).alias("hash"))
     rows = common.staged(rows, "mixing-rows")
     summed = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
     if len(summed) > MAX_PATTERNS:
@@ -169,7 +190,7 @@ def mix(docs: DataFrame, weights: list[float], sources: Column | None = None, ma
     told = told.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("more", F.coalesce(below, F.lit(False)).cast("int"))
     shape = ["doc_id", "key", "size", "base", "more"]
     ragged = told.where("same").select("doc_id", "key", "size", "base", "hash", (F.col("part") - F.col("before")).alias("left"))
-    dealt = ragged.groupBy("key").applyInPandas(_boundary, "doc_id long, key string, size long, base long, more int")
+    dealt = ragged.groupBy("key").applyInPandas(_boundary, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key string, size long, base long, more int")
     out = told.where(~F.col("same")).select(*shape).unionByName(dealt.select(*shape)).join(F.broadcast(plan.withColumn("key", key).select("key", F.array_join("pattern", ",").alias("source"), "source_size", "target")), "key")
     repeats = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))

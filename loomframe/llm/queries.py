@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 #: The others hash, fit or parse in ways that SQL has no words for; tests hold them against brute force or held-out labels.
-ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op6_quality_rules": rules.SQL, "op9_license_scan": licenses.sql()}
+ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op5_decontamination": decontam.SQL, "op6_quality_rules": rules.SQL, "op9_license_scan": licenses.sql()}

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import os
 import re
 import zlib
@@ -90,14 +92,14 @@ def test_chat_rotates_every_perspective(spark):
                 assert r["role"] == "assistant" and r["segment"].split("\n", 1)[1] == whole[r["mask_start"] : r["mask_end"]] + "\n"
     assert {(r["conv_id"], r["perspective"]) for r in out} == {(1, "ann_lee"), (1, "bob"), (3, "unknown")}
     bob = [r for r in out if r["conv_id"] == 1 and r["perspective"] == "bob"]
-    assert sorted((r["role"], r["name"]) for r in bob) == [("assistant", None)] * 3 + [("system", None), ("user", "ann_lee")] or len(bob) == 5
+    assert sorted((r["role"], r["name"] or "") for r in bob) == [("assistant", "")] * 3 + [("system", ""), ("user", "ann_lee")]
     assert chat.rotated(turns.where("1 = 0")).count() == 0
 
 
 def same_as_sql(spark, name):
     sql, df = queries.ORACLE[name], queries.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = db.sql(sql)
     order = [found.columns.index(c) for c in df.columns]
@@ -142,10 +144,98 @@ def test_mix_of_many_documents_and_overlaps(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1.0, 4.0])
     for r in out.groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect():
         assert abs(r.k - r.t) <= 97
-    both = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(both, [1.0, 1.0], F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))))
-    total = out.agg(F.sum("size").alias("s"), F.sum("taken").alias("k")).first()
-    assert {r.source for r in out.select("source").distinct().collect()} == {"a,b", "b"} and total.k > 0
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1.0, 1.0], F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))))
+    told = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("repeats").alias("least"), F.max("repeats").alias("most")).collect()}
+    want = mixing.targets({"a": told["a,b"]["size"], "b": told["a,b"]["size"] + told["b"]["size"]}, [1.0, 1.0])
+    assert set(told) == {"a,b", "b"} and abs(told["a,b"].taken + told["b"].taken - sum(want.values())) <= 2 * 97  # quotas are met within a document for each pattern
+    assert told["a,b"].taken >= want["a"] - 97  # source a is made of this pattern alone
+    assert all(r.most - r.least <= 1 for r in told.values())  # convex costs: no document gets a third pass before all have a second
+
+
+def brute_flow(patterns, quotas, costs):
+    """(words, cost) of the cheapest of the largest flows, by trying them all."""
+    arcs = [(p, s) for p in patterns for s in p if s in quotas]
+    best = (0, 0)
+    for given in itertools.product(*(range(min(patterns[p] * len(costs), quotas[s]) + 1) for p, s in arcs)):
+        by_p, by_s = {}, {}
+        for (p, s), g in zip(arcs, given, strict=True):
+            by_p[p], by_s[s] = by_p.get(p, 0) + g, by_s.get(s, 0) + g
+        if all(by_p[p] <= patterns[p] * len(costs) for p in by_p) and all(by_s[s] <= quotas[s] for s in by_s):
+            cost = sum(sorted(costs)[k // patterns[p]] for p, n in by_p.items() for k in range(n))
+            best = max(best, (sum(given), -cost))
+    return best[0], -best[1]
+
+
+def test_flow_is_the_cheapest_of_the_largest():
+    rng = np.random.default_rng(4)
+    shapes = [("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "c"), ("c",)]
+    for _ in range(60):
+        patterns = {shapes[k]: int(rng.integers(0, 4)) for k in rng.choice(6, rng.integers(1, 4), replace=False)}
+        quotas = {s: int(rng.integers(0, 7)) for s in "abc"}
+        flow = mixing.route(patterns, quotas, [1, 4, 16])
+        by_p = {p: sum(f for (q, _), f in flow.items() if q == p) for p in patterns}
+        assert all(0 <= n <= 3 * patterns[p] for p, n in by_p.items()) and all(f >= 0 for f in flow.values())
+        assert all(sum(f for (_, s), f in flow.items() if s == x) <= q for x, q in quotas.items())
+        cost = sum([1, 4, 16][k // patterns[p]] for p, n in by_p.items() for k in range(n))
+        assert (sum(by_p.values()), cost) == brute_flow(patterns, quotas, [1, 4, 16])
+
+
+def test_flow_over_many_patterns_ends_soon():
+    patterns = {(f"s{k:05d}", f"s{(k * 7 + 1) % 20_000:05d}"): 10 + k % 13 for k in range(20_000)} | {(f"s{k:05d}",): 5 for k in range(20_000)}
+    quotas = {f"s{k:05d}": 20 for k in range(20_000)}
+    flow = mixing.route(patterns, quotas, [1, 4, 16])
+    given = {}
+    for (_, s), f in flow.items():
+        given[s] = given.get(s, 0) + f
+    assert given == quotas
+
+
+def brute_mix(rows, weights):
+    """repeats of each row (doc_id, text, source) of one source each, by hash order, ranges and the greedy boundary."""
+    import xxhash
+
+    def h(i, t):
+        x = 42 if i is None else xxhash.xxh64_intdigest(i.encode() if isinstance(i, str) else i.to_bytes(8, "little"), 42)
+        x = x if t is None else xxhash.xxh64_intdigest(t.encode(), x)
+        return xxhash.xxh64_intdigest((17).to_bytes(4, "little"), x)
+
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(words(t))
+    want, out = mixing.targets(size, weights), []
+    for s in size:
+        own = [(h(i, t), len(words(t)), i) for i, t, x in rows if x == s]
+        given = min(round(want[s]), 3 * size[s])
+        base, part = divmod(given, size[s]) if size[s] else (0, 0)
+        n = math.isqrt(len(own) // mixing.EDGE_ROWS) + 1
+        cells = {}
+        for row in sorted(own, key=lambda r: (r[0] - (1 << 64 if r[0] >> 63 else 0), r[1])):
+            place = (row[0] >> 40) * n
+            cells.setdefault((place >> 24, (place & 0xFFFFFF) * n >> 24), []).append(row)
+        for cell in sorted(cells):
+            total = sum(r[1] for r in cells[cell])
+            if part >= total:
+                taken, part = [1] * len(cells[cell]), part - total
+            else:  # the boundary: what fits is taken, then the smallest that brings the sum nearer
+                taken = []
+                for r in cells[cell]:
+                    taken.append(int(0 < r[1] <= part))
+                    part -= r[1] * taken[-1]
+                rest = [k for k, r in enumerate(cells[cell]) if r[1] and not taken[k]]
+                if rest and part > 0 and 2 * part > cells[cell][k := min(rest, key=lambda k: cells[cell][k][1])][1]:
+                    taken[k] = 1
+                part = -1
+            out += [(str(r[2]), s or "", r[1], (base + m) if r[1] else 0) for r, m in zip(cells[cell], taken, strict=True)]
+    return sorted(out)
+
+
+def test_mix_like_brute_force(spark, docs):
+    tables = [[(r.doc_id, r.text, r.source) for r in docs.collect()], [(k, " ".join(["w"] * (1 + k * 7919 % 97)), "hhht"[k % 4]) for k in range(3000)]]
+    for rows in tables:
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [5.0, 2.0, 1.0])
+        got_ = sorted((str(r.doc_id), r.source, r["size"], r.repeats) for r in out.collect())
+        want = brute_mix(rows, [5.0, 2.0, 1.0])
+        assert [x[:3] for x in got_] == [x[:3] for x in want] and sum(a != b for a, b in zip(got_, want, strict=True)) == 0
 
 
 # --- 3 sharding --------------------------------------------------------------------------------------------------
@@ -154,14 +244,15 @@ def test_mix_of_many_documents_and_overlaps(spark):
 def test_shards_move_few_rows_and_number_them_without_gaps(spark, docs, empty):
     rows = {(r.doc_id, r.text) for r in docs.collect()}
     out = got(sharding.assign(docs, [1.0] * 24))
-    assert sorted((r["size"], r["text_crc32"]) for r in out) == sorted((len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect()) and rows
+    assert sorted((r["size"], r["text_crc32"]) for r in out) == sorted((len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert {(r["doc_id"], r["text_crc32"]) for r in out} == {(i, zlib.crc32((t or "").encode())) for i, t in rows}
     for s in {r["shard"] for r in out}:
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     moved = sharding.assign(many, [1.0] * 24).where("shard <> grown_shard")
     assert 0.03 < moved.count() / 20_000 < 0.05 and {r.grown_shard for r in moved.select("grown_shard").distinct().collect()} == {24}
     heavy = many.select(sharding.shard_of(F.col("doc_id"), [1.0, 3.0]).alias("s")).groupBy("s").count().collect()
-    assert {r.s: round(r["count"] / 20_000, 1) for r in heavy} == {0: 0.2, 1: 0.8} or {r.s: round(r["count"] / 20_000, 1) for r in heavy} == {0: 0.3, 1: 0.7} or abs(next(r["count"] for r in heavy if r.s == 1) / 20_000 - 0.75) < 0.02
+    assert abs(next(r["count"] for r in heavy if r.s == 1) / 20_000 - 0.75) < 0.02
     import xxhash
 
     score = lambda k, s: xxhash.xxh64_intdigest(s.to_bytes(4, "little"), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)) >> 1
@@ -500,6 +591,17 @@ def test_one_row_of_each_near_duplicate_group_stays(spark):
     assert sorted(r.text or "" for r in out.where("doc_id is null").collect()) == ["", " ", " ", text(4, 80)]
 
 
+def test_one_passage_of_the_benchmark_is_enough_and_clean_rows_stay(spark, tmp_path):
+    item = text(40, 13)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = f"{text(41, 700)} {item.upper()} {text(42, 700)}"  # a hundredth of its words
+    rows = [(1, long, "a"), (2, text(41, 700), "a"), (2, f"x {item}", "b"), (None, long, "a"), (None, text(43), "b"), (None, None, "b"), (3, " ".join(item.split()[:12]), "a")]
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), str(tmp_path))
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted([("2", text(41, 700)), ("None", text(43)), ("None", "None"), ("3", rows[6][1])])
+    mixed = corpus_pipeline.mix(spark, out, str(tmp_path))
+    assert mixed.columns == ["doc_id", "text", "source"] and {r.text for r in mixed.collect()} <= {r.text for r in out.collect()}
+
+
 @needs_data
 def test_pipeline_like_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -507,11 +609,11 @@ def test_pipeline_like_brute_force(spark):
     kept = corpus_pipeline.quality(spark, docs, SF)
     assert ids(kept) == sorted(r.doc_id for r in rules.judged(docs).where("kept").collect())
     single = corpus_pipeline.near_duplicates(spark, kept, SF)
-    assert ids(single) == [i for i, _, _, first in brute_groups([(r.doc_id, r.text) for r in kept.collect()]) if first]
+    assert ids(single) == [i for i, _, _, first in brute_groups([(r.doc_id, r.text) for r in kept.collect()], percent=80) if first]
     clean = corpus_pipeline.decontaminate(spark, single, SF)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert ids(clean) == sorted(int(r[0]) for r in brute_contamination([(r.doc_id, r.text) for r in single.collect()], items) if not r[5])
-    plan = mixing.mix(clean, queries.MIX_WEIGHTS).collect()
+    assert ids(clean) == sorted(int(r[0]) for r in brute_contamination([(r.doc_id, r.text) for r in single.collect()], items) if not r[2])
     mixed = corpus_pipeline.mix(spark, clean, SF)
-    assert ids(mixed) == sorted(i for r in plan for i in [r.doc_id] * r.repeats)
+    rows = [(f"{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}", r.text, r.source) for r in clean.collect()]
+    assert ids(mixed) == sorted(int(key.split(":")[0]) for key, _, _, repeats in brute_mix(rows, queries.MIX_WEIGHTS) for _ in range(repeats))
     assert corpus_pipeline.shard(spark, mixed, SF).count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
