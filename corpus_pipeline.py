@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-Near duplicates are told apart row by row, so of repeated rows with words one stays, with or without doc_id. In the later stages a
-row without doc_id is known by a hash of its text between two steps, and the mix gives every row of a doc_id the same number of passes.
+Near duplicates are told apart row by row, so of repeated rows with words one stays, with or without doc_id. The next two stages know a
+row by its doc_id and the digest of its text: no hash stands for a doc_id, and rows that share a doc_id but not a text are judged apart.
 """
 
 from __future__ import annotations
@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from loomframe.llm import common, decontam, mixing, neardup, queries, rules, sharding
 
 
+#: Two documents of one group share so many per cent of their 5-word shingles, directly or by others.
+NEAR_PERCENT = 80
+
+
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    """doc_id and digest of the text as one string; null for both is its own key."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("string")), F.lit("null")))
 
 
 def _held(docs: DataFrame) -> DataFrame:
@@ -21,15 +26,6 @@ def _held(docs: DataFrame) -> DataFrame:
     return docs.select(_key().alias("_key"), F.struct("*").alias("_row"))
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is among ``keys(doc_id)``."""
-    return _held(docs).join(keys.select(F.col("doc_id").alias("_key")), "_key", "left_anti").select("_row.*")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias("doc_id"), "text")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what any quality rule rejects."""
     return rules.accepted(docs)
@@ -39,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each near-duplicate group keep one row, that of the smallest doc_id; rows without doc_id come last. Of rows that share it the
     one with the least hash stays, and rows that are equal throughout are told apart by a number of their own."""
     rows = common.staged(docs.select(F.monotonically_increasing_id().alias("_n"), F.struct("*").alias("_row")), "pipeline-numbered")
-    found = neardup.groups(rows.select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text")))
+    found = neardup.groups(rows.select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text")), NEAR_PERCENT)
     doc_id = F.col("_row.doc_id").cast("long")
     order = rows.select("_n", F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64("_row").alias("hash"), "_n").alias("_order"))
     first = found.join(order, F.col("doc_id") == F.col("_n")).groupBy("component_id").agg(F.min("_order").alias("_order"))
@@ -48,15 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop every document that holds a passage of the benchmark: 13 consecutive words of an item, or a shorter item whole."""
-    found = decontam.contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("n_hit > 0").select("doc_id").distinct())
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=_key())
+    return _held(docs).join(found.where("n_hit > 0").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix of sources asks for: not at all, once, or up to three times."""
-    plan = mixing.mix(docs.select(_key().alias("doc_id"), "source", "text"), queries.MIX_WEIGHTS)
-    plan = plan.groupBy(F.col("doc_id").alias("_key")).agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
-    return _held(docs).join(plan, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("_row.*")
+    plan = mixing.mix(docs, queries.MIX_WEIGHTS, key=_key())
+    plan = plan.groupBy(F.col("doc_id").alias("_key"), F.col("source").alias("_source")).agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
+    rows = _held(docs).withColumn("_source", F.coalesce(F.col("_row.source").cast("string"), F.lit("")))
+    return rows.join(plan, ["_key", "_source"]).select("_row", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("_row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +62,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
-#: Shingle sets and hashes are beyond SQL here; tests hold the stages against brute force.
+#: The mix goes by xxhash64 and cuts ranges of it, which DuckDB lacks; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
