@@ -206,7 +206,7 @@ m AS (
 judged AS (
   SELECT *, [n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > n_words, n_dup_lines >= {LEAST_DUP_LINES} AND 100 * n_dup_lines > 30 * n_lines,
     word_chars < 2 * n_words OR word_chars > 15 * n_words, 10 * shouts > 3 * n_words] AS rejects,
-    [1, n_words + 1, strlen(t) // 16 + 1, strlen(t) // 8 + 1, strlen(t) // 32 + 1, strlen(t) // 16 + 1] AS work
+    [1, n_words + 1, (strlen(t) // 16) + 1, (strlen(t) // 8) + 1, (strlen(t) // 32) + 1, (strlen(t) // 16) + 1] AS work
   FROM m
 ),
 sampled AS (
