@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomframe.errors import InvalidArgument
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where none is set, a local folder serves a local master
+    (tests); on a cluster that is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise InvalidArgument("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomframe-")
         sc.setCheckpointDir(found)
     return found
@@ -57,11 +62,6 @@ def file_index(df: DataFrame, name: str = "idx") -> DataFrame:
     return rows.join(F.broadcast(shift), "_file").withColumn(name, F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
 
 
-def count_of(df: DataFrame) -> int:
-    """Number of rows."""
-    return df.count()
-
-
 def hash_index(df: DataFrame, order: Column, *ties: str, by: list[str] | None = None, name: str = "pos") -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in the order of a hexadecimal hash, inside each value of ``by`` if given.
 

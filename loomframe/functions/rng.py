@@ -67,7 +67,7 @@ def splitmix64(x: np.ndarray | int) -> np.ndarray:
 
 
 def mixed(a: int, b: int, c: int) -> int:
-    """One seed from three numbers."""
+    """One seed from three numbers. The added number is a fixed value."""
     inner = int(splitmix64(a ^ int(splitmix64(b))))
     return int(splitmix64(inner ^ int(splitmix64((c + 0x632BE59BD9B4E019) & _M64))))
 

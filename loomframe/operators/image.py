@@ -1,7 +1,7 @@
 """Images as arrays [height, width, channels] of uint8, decoded and transformed in numpy where the rows are.
 
 A chain of steps is fused by hand: one Arrow pass decodes nothing twice and stores nothing between steps. Random steps draw from a
-counter generator keyed by (seed, row position), so results do not depend on partitions.
+counter generator keyed by (seed, row position, step), so results do not depend on partitions.
 """
 
 from __future__ import annotations
@@ -227,15 +227,15 @@ def normalize(mean: list[float], std: list[float]) -> Step:
 
 def fused(*steps: Step) -> Step:
     def run(x: np.ndarray, draws: np.ndarray) -> np.ndarray:
-        for step in steps:
-            x = step(x, draws)
+        for k, step in enumerate(steps):
+            x = step(x, draws[k])
         return x
 
     return run
 
 
 def apply(df: DataFrame, *steps: Step, seed: int = 0) -> DataFrame:
-    """(idx, shape, data, label) of images (idx, shape, input, label) after the steps: one pass, draws keyed by seed and idx."""
+    """(idx, shape, data, label) of images (idx, shape, input, label) after the steps: one pass, draws keyed by seed, idx and step."""
     chain = fused(*steps)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,8 +243,8 @@ def apply(df: DataFrame, *steps: Step, seed: int = 0) -> DataFrame:
             for at in range(0, len(frame), 64):
                 part = frame.iloc[at : at + 64]
                 idx = part["idx"].to_numpy(np.uint64)
-                counter = np.stack([idx & np.uint64(0xFFFFFFFF), idx >> np.uint64(32), np.zeros_like(idx), np.zeros_like(idx)], axis=1)
-                draws = philox(counter, (seed & 0xFFFFFFFF, seed >> 32 & 0xFFFFFFFF))
+                counters = (np.stack([idx & np.uint64(0xFFFFFFFF), idx >> np.uint64(32), np.full_like(idx, k), np.zeros_like(idx)], axis=1) for k in range(len(steps)))
+                draws = np.stack([philox(c, (seed & 0xFFFFFFFF, seed >> 32 & 0xFFFFFFFF)) for c in counters] or [np.zeros((len(idx), 4), np.uint32)], axis=1)
                 made = [chain(np.frombuffer(b, np.uint8).reshape(tuple(s)), d) for b, s, d in zip(part["input"], part["shape"], draws, strict=True)]
                 yield pd.DataFrame({"idx": part["idx"], "shape": [list(m.shape) for m in made], "data": [m.reshape(-1).astype(np.float32) for m in made], "label": part["label"]})
 

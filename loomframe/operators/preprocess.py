@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.errors import InvalidArgument, ShapeMismatch
-from loomframe.functions import numeric
+from loomframe.functions import files, numeric
 from loomframe.functions.numeric import present
 from loomframe.operators import stats
 
@@ -61,7 +61,7 @@ class Transformer:
         return json.dumps({"kind": self.kind or type(self).__name__} | asdict(self))
 
     def save(self, path: str) -> None:
-        Path(path).write_text(self.saved())
+        files.write(path, self.saved().encode())
 
 
 def loaded(text: str) -> Transformer:
@@ -74,7 +74,7 @@ def loaded(text: str) -> Transformer:
 
 
 def load(path: str) -> Transformer:
-    return loaded(Path(path).read_text())
+    return loaded(files.read(path).decode())
 
 
 def _agg(df: DataFrame, columns: list[str], **functions) -> dict[str, list]:
@@ -222,11 +222,26 @@ class _Coded(Transformer):
             out.append(sorted(r.v for r in rows))
         return {"categories": out}
 
-    def _code(self, df: DataFrame, k: int) -> Column:
-        """0-based place of the value; a value that the fit has not seen is an error."""
-        values = self.fitted["categories"][k]
-        place = F.array_position(F.array(*map(F.lit, values)), F.col(self.columns[k])) if len(values) <= 64 else F.element_at(F.map_from_arrays(F.array(*map(F.lit, values)), F.sequence(F.lit(1), F.lit(len(values)))), F.col(self.columns[k]))
-        return F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(F.raise_error(F.concat(F.lit(f"unseen category in {self.columns[k]}: "), F.coalesce(F.col(self.columns[k]).cast("string"), F.lit("null")))))
+    #: Up to so many categories are literals of an expression; more are a table that is broadcast, of MAX_CATEGORIES rows at most.
+    LITERALS: ClassVar[int] = 64
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_code0``, ``_code1``, ...: 0-based places of the values; a value that the fit has not seen is an error."""
+        for k, (c, values) in enumerate(zip(self.columns, self.fitted["categories"], strict=True)):
+            if len(values) <= self.LITERALS:
+                df = df.withColumn(f"_code{k}", F.array_position(F.array(*map(F.lit, values)), F.col(c)) - 1 if values else F.lit(None).cast("long"))
+            else:
+                table = df.sparkSession.createDataFrame(list(enumerate(values)), T.StructType([T.StructField(f"_code{k}", T.LongType()), T.StructField(f"_value{k}", df.schema[c].dataType)]))
+                df = df.join(F.broadcast(table), F.col(c) == F.col(f"_value{k}"), "left").drop(f"_value{k}")
+            told = F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+            df = df.withColumn(f"_code{k}", F.when(F.coalesce(f"_code{k}", F.lit(-1)) >= 0, F.col(f"_code{k}")).otherwise(told))
+        return df
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self._replaced(self._coded(df)).drop(*(f"_code{k}" for k in range(len(self.columns))))
+
+    def _replaced(self, df: DataFrame) -> DataFrame:
+        raise NotImplementedError
 
 
 @dataclass
@@ -235,8 +250,8 @@ class LabelEncoder(_Coded):
 
     kind = "label_encoder"
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self._code(df, k).cast("long") for k, c in enumerate(self.columns)})
+    def _replaced(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(f"_code{k}").cast("long") for k, c in enumerate(self.columns)})
 
 
 @dataclass
@@ -245,8 +260,8 @@ class OrdinalEncoder(_Coded):
 
     kind = "ordinal_encoder"
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self._code(df, k).cast("double") for k, c in enumerate(self.columns)})
+    def _replaced(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(f"_code{k}").cast("double") for k, c in enumerate(self.columns)})
 
 
 @dataclass
@@ -256,6 +271,6 @@ class OneHotEncoder(_Coded):
     output: str = "onehot"
     kind = "onehot_encoder"
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        block = lambda n, code: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == code).cast("double"))
-        return df.withColumn(self.output, F.concat(*(block(len(v), self._code(df, k)) for k, v in enumerate(self.fitted["categories"]))))
+    def _replaced(self, df: DataFrame) -> DataFrame:
+        block = lambda n, k: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col(f"_code{k}")).cast("double"))
+        return df.withColumn(self.output, F.concat(*(block(len(v), k) for k, v in enumerate(self.fitted["categories"]))))

@@ -8,6 +8,7 @@ import math
 from collections.abc import Iterable, Iterator
 from typing import TypeVar
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,24 +67,45 @@ def weighted_without_replacement(df: DataFrame, key: str, weight: str, n: int, s
 def weighted_with_replacement(df: DataFrame, weight: str, n: int, seed: int) -> DataFrame:
     """(pos, idx) of n independent draws in proportion to the weights.
 
-    Rows get the interval of their cumulated weight, draws a point; both are dealt to as many cells as there are rows, and meet by
-    equality of cells. Running sums are made in 4096 blocks of positions.
+    Weights become whole numbers, 2**32 for the largest and at least 1 for a positive one, so sums are exact: rows get the interval
+    between two running sums, draws a point below the total, and each point lies in one interval. Both are dealt to as many cells as
+    there are rows, and meet by equality of cells. Running sums are made in 4096 blocks of positions.
     """
     rows = df.select("idx", F.col(weight).cast("double").alias("w")).where("w > 0")
-    count = df.count()
+    told = df.agg(F.count("*").alias("n"), F.max(F.when(~F.isnan(weight), F.col(weight).cast("double"))).alias("most")).first()
+    count, most = told.n, told.most
+    if not most or most <= 0:
+        raise InvalidArgument("weighted sampling: no positive weight")
+    wide = "decimal(38,0)"
     block = F.floor(F.col("idx") * F.lit(4096) / F.lit(max(count, 1)))
-    rows = rows.withColumn("block", block)
-    sums = rows.groupBy("block").agg(F.sum("w").alias("s"))
+    rows = rows.select("idx", F.greatest(F.floor(F.col("w") / most * F.lit(float(1 << 32)) + 0.5), F.lit(1)).cast("decimal(20,0)").alias("w"), block.alias("block"))
+    sums = rows.groupBy("block").agg(F.sum("w").cast(wide).alias("s"))
     total = sums.agg(F.sum("s")).first()[0]
-    if not total:
-        raise InvalidArgument("weighted sampling: no positive weight")
-    sums = sums.select("block", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("s")).alias("before"))
-    high = F.col("before") + F.sum("w").over(Window.partitionBy("block").orderBy("idx"))
-    spans = rows.join(F.broadcast(sums), "block").select("idx", (high / total).alias("high"), ((high - F.col("w")) / total).alias("low"))
-    cell = lambda x: F.least(F.floor(x * F.lit(count)), F.lit(count - 1))
-    spans = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("pos"), unit(seed, F.col("id").cast("string")).alias("u")).withColumn("cell", cell(F.col("u")))
-    return draws.join(spans, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("pos", "idx")
+    sums = sums.select("block", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("block")) - F.col("s")).cast(wide).alias("before"))
+    high = (F.col("before") + F.sum("w").over(Window.partitionBy("block").orderBy("idx"))).cast(wide)
+    spans = rows.join(F.broadcast(sums), "block").select("idx", high.alias("high"), (high - F.col("w")).cast(wide).alias("low"))
+    sum_of = F.lit(total).cast("decimal(21,0)")
+    cell = lambda x: F.expr(f"cast(div(cast({x} as decimal(21,0)) * cast({count} as decimal(12,0)), cast('{total}' as decimal(21,0))) as long)")
+    spans = spans.withColumn("last", (F.col("high") - 1).cast(wide)).withColumn("cell", F.explode(F.sequence(cell("low"), cell("last"))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("pos"), (unit(seed, F.col("id").cast("string")) * F.lit(float(1 << 52))).cast("decimal(16,0)").alias("u"))
+    draws = draws.withColumn("product", F.col("u") * sum_of).withColumn("point", F.expr("cast(div(product, cast('4503599627370496' as decimal(16,0))) as decimal(38,0))")).withColumn("cell", cell("point"))
+    return draws.join(spans, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("pos", "idx")
+
+
+def buffered(df: DataFrame, size: int, seed: int, blocks: int = 64) -> DataFrame:
+    """``df`` with ``pos``: the order in which shuffle buffers of ``size`` rows give the rows back. Every ``blocks * size`` consecutive
+    positions go through a buffer of their own, so any number of tasks make the order together, and it depends on idx alone."""
+    if size < 1 or blocks < 1:
+        raise InvalidArgument("shuffle buffer: bad size")
+    span = blocks * size
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(frame["idx"].tolist())
+        first = order[0] // span * span
+        return pd.DataFrame({"idx": list(shuffle_buffer(order, size, seed + order[0] // span)), "pos": range(first, first + len(order))})
+
+    order = df.select("idx", F.floor(F.col("idx") / span).alias("block")).groupBy("block").applyInPandas(run, "idx long, pos long")
+    return df.join(order, "idx")
 
 
 def batched(df: DataFrame, size: int, drop_last: bool = False, pos: str = "pos") -> DataFrame:

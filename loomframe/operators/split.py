@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,12 @@ def cuts(n: int, fractions: list[float]) -> list[int]:
     """Ends of the parts of ``n`` rows; the last part takes the rest. The fractions must be positive and sum to 1."""
     if not fractions or min(fractions) < 0 or abs(sum(fractions) - 1) > 1e-6:
         raise InvalidArgument("fractions must be positive and sum to 1")
-    out = []
-    for f in fractions[:-1]:
-        out.append(min(n, (out[-1] if out else 0) + half_up(f * n)))
-    return [*out, n]
+    sizes = [half_up(f * n) for f in fractions[:-1]]
+    over = max(0, sum(sizes) - n)
+    for k, size in enumerate(sizes):  # what rounding gives too much is taken from the first parts
+        sizes[k] -= min(size, over)
+        over -= size - sizes[k]
+    return [*itertools.accumulate(sizes), n]
 
 
 def _part(pos: Column, ends: list[int]) -> Column:

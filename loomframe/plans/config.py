@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.errors import InvalidArgument, LoomError
+from loomframe.functions import files
 from loomframe.functions.positions import hash_index
 from loomframe.functions.rng import order_key
 from loomframe.operators import batch, preprocess, sampling, transforms
@@ -167,17 +167,17 @@ def build(spark: SparkSession, document: dict) -> Loader:
 
 
 def from_file(spark: SparkSession, path: str) -> Loader:
-    return build(spark, parse(Path(path).read_text()))
+    return build(spark, parse(files.read(path).decode()))
 
 
 def save_snapshot(path: str, fitted: list[preprocess.Transformer], steps: list[dict]) -> None:
     """Fitted preprocessors and named transforms, to be applied again without a fit."""
-    Path(path).write_text(json.dumps({"version": 1, "preprocessors": [t.saved() for t in fitted], "transforms": steps}))
+    files.write(path, json.dumps({"version": 1, "preprocessors": [t.saved() for t in fitted], "transforms": steps}).encode())
 
 
 def load_snapshot(path: str, columns: list[str]) -> transforms.Step:
     """One step that applies a snapshot."""
-    found = json.loads(Path(path).read_text())
+    found = json.loads(files.read(path))
     if found.get("version") != 1:
         raise InvalidArgument(f"{path}: unknown version")
     made = [preprocess.loaded(t).transform for t in found["preprocessors"]]

@@ -18,10 +18,11 @@ import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loomframe.errors import InvalidArgument, SourceError
+from loomframe.functions import files
 from loomframe.functions.positions import dense_index
 from loomframe.operators import image
 from loomframe.sources import compression
@@ -90,8 +91,28 @@ def npz(spark: SparkSession, path: str) -> DataFrame:
     return decoded(spark, path, rows, "name string, shape array<int>, data array<double>")
 
 
-def arrow_ipc(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows of Arrow IPC files or Feather files; ``schema`` is the DDL of the columns to read. Null floats become NaN."""
+def _ipc_schema(spark: SparkSession, path: str) -> str:
+    """The DDL of the first file's columns; only its schema comes to the driver."""
+    first = spark.read.format("binaryFile").load(path).select("path", "content").limit(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with pa.ipc.open_file(pa.BufferReader(compression.opened(content, name))) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([f.schema.serialize().to_pybytes()])], ["schema"])
+
+    found = first.mapInArrow(run, "schema binary").collect()
+    if not found:
+        raise SourceError(f"{path}: no file")
+    return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(found[0].schema)))).toDDL()
+
+
+def arrow_ipc(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows of Arrow IPC files or Feather files; ``schema`` is the DDL of the columns to read, by default those of the first file. Null
+    floats become NaN."""
+    schema = schema or _ipc_schema(spark, path)
+    if columns:
+        schema = StructType([StructType.fromDDL(schema)[c] for c in columns]).toDDL()
     names = columns or StructType.fromDDL(schema).names
 
     def rows(_: str, data: bytes) -> Iterator[tuple]:
@@ -176,7 +197,7 @@ def web_dataset(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
 
 
 def image_folder(spark: SparkSession, root: str, recursive: bool = False, channels: str = "keep", skip_bad: bool = False) -> DataFrame:
-    """(idx, path, shape, input, label) of root/class/*.ext; labels number the sorted class folders that hold images."""
+    """(idx, path, class, shape, input, label) of root/class/*.ext; labels number the sorted class folders, empty ones too."""
     suffixes = "{" + ",".join(sorted(image.SUFFIXES | {s.upper() for s in image.SUFFIXES})) + "}"
 
     def rows(path: str, data: bytes) -> Iterator[tuple]:
@@ -191,7 +212,7 @@ def image_folder(spark: SparkSession, root: str, recursive: bool = False, channe
     out = decoded(spark, root if recursive else f"{root.rstrip('/')}/*", rows, "path string, shape array<int>, input binary", recursive, f"*.{suffixes}")
     below = F.regexp_replace("path", r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     out = out.withColumn("class", F.split(below, "/")[0])
-    classes = {r["class"]: k for k, r in enumerate(out.select("class").distinct().orderBy("class").collect())}
+    classes = {name: k for k, name in enumerate(files.folders(root))}
     table = spark.createDataFrame(list(classes.items()) or [("", 0)], "class string, label long")
     return out.join(F.broadcast(table), "class")
 

@@ -29,15 +29,18 @@ def _number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", label: str | None = None, label_index: int | None = None, comment: str | None = None, errors: str = "raise", na: str = "error", dtype: str = "float", multiline: bool = True) -> DataFrame:
+def csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", label: str | None = None, label_index: int | None = None, comment: str | None = None, errors: str = "raise", na: str = "error", dtype: str = "float", multiline: bool | None = None) -> DataFrame:
     """(idx, input, label) of a CSV file whose cells are numbers; the label is a column by number, by name, or the last.
 
     Quotes as in RFC 4180, CRLF, a byte order mark, comment lines and blank lines are handled. A record with another number of cells
     or a cell that is no number is an error, or with ``errors="skip"`` is left out. ``na="null"`` reads missing marks as null.
-    ``multiline=False`` lets large files be split, if no quoted cell holds a line break.
+    Files are split among tasks unless a quoted cell holds a line break: ``multiline`` says so, or one scan for lines with an odd
+    number of quotes finds it out.
     """
     if errors not in ("raise", "skip") or na not in ("error", "null"):
         raise InvalidArgument("csv: errors is raise or skip, na is error or null")
+    if multiline is None:
+        multiline = bool(spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
     reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("header", header).option("ignoreLeadingWhiteSpace", False).option("emptyValue", "").option("nullValue", "\x00")
     reader = reader.option("comment", comment) if comment else reader
     names = [c.lstrip("﻿") for c in reader.csv(path).columns]
@@ -49,11 +52,11 @@ def csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",
     at = label_index if label_index is not None else names.index(label) if label is not None else len(names) - 1
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
     rows = scan_index(reader.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path), "_at_file")
-    cell = lambda k: F.when(F.lit(na == "null") & F.trim(F.col(f"c{k}")).isin(*NA_VALUES), F.lit(None)).otherwise(_number(F.col(f"c{k}")))
+    lacking = lambda k: F.lit(na == "null") & F.trim(F.coalesce(F.col(f"c{k}"), F.lit(""))).isin(*NA_VALUES)  # noqa: E731  an empty cell is read as null
+    cell = lambda k: F.when(lacking(k), F.lit(None)).otherwise(_number(F.col(f"c{k}")))
     broken = F.col("_bad").isNotNull()
     for k in range(len(names)):
-        missing = F.trim(F.col(f"c{k}")).isin(*NA_VALUES) if na == "null" else F.lit(False)
-        broken = broken | (~F.coalesce(missing, F.lit(False)) & _number(F.col(f"c{k}")).isNull())
+        broken = broken | (~lacking(k) & _number(F.col(f"c{k}")).isNull())
     if errors == "skip":
         rows = rows.where(~broken)
     elif bad := rows.where(broken).orderBy("_at_file").limit(1).collect():
@@ -121,8 +124,8 @@ def parquet(spark: SparkSession, path: str, columns: str | list[str] | None = No
             return F.coalesce(x, F.lit(float("nan")).cast(kind))
         if kind == "string":
             return F.coalesce(x, F.lit(""))
-        if kind == "timestamp":
-            x = F.unix_micros(x)
+        if kind.startswith("timestamp"):  # a time without zone counts as one in UTC
+            x = F.unix_micros(x if kind == "timestamp" else F.convert_timezone(F.lit("UTC"), F.current_timezone(), x).cast("timestamp"))
         elif kind == "date":
             x = F.unix_date(x)
         elif kind.startswith(("decimal", "struct", "map")):
@@ -190,6 +193,34 @@ def jdbc(spark: SparkSession, url: str, query: str, fetch_size: int = 1000, **op
     return spark.read.format("jdbc").option("url", url).option("query", query).option("fetchsize", fetch_size).options(**options).load()
 
 
+def sql_rows(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """(input, label if any, each extra and metadata column) of query rows; ``columns`` are (name, role) with the roles input, label,
+    extra, metadata and auto, which is metadata for text and input for numbers.
+
+    Inputs that are all whole numbers become int64, else float64, and no input is [0.0]. Null floats become NaN, null texts empty;
+    other nulls are errors.
+    """
+    kinds = dict(df.dtypes)
+    roles: dict[str, list[str]] = {"input": [], "label": [], "extra": [], "metadata": []}
+    for name, role in columns:
+        if name not in kinds or role not in (*roles, "auto"):
+            raise InvalidArgument(f"sql rows: no column {name!r} or unknown role {role!r}")
+        roles[("metadata" if kinds[name] == "string" else "input") if role == "auto" else role].append(name)
+    if len(roles["label"]) > 1 or any(kinds[c] == "string" for c in (*roles["input"], *roles["label"])):
+        raise InvalidArgument("sql rows: one label, and no text as input or label")
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint", "boolean") for c in roles["input"])
+
+    def value(c: str, kind: str | None = None) -> Column:
+        if kinds[c] == "string":
+            return F.coalesce(c, F.lit(""))
+        if kinds[c] in ("float", "double"):
+            return F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        return F.coalesce(F.col(c).cast("int") if kinds[c] == "boolean" else F.col(c), F.raise_error(F.lit(f"null in column {c}")).cast("int")).cast(kind or "bigint")
+
+    made = F.array(*(value(c, "bigint" if whole else "double") for c in roles["input"])) if roles["input"] else F.array(F.lit(0.0))
+    return df.select(made.alias("input"), *(value(c).alias("label") for c in roles["label"]), *(value(c).alias(c) for c in (*roles["extra"], *roles["metadata"])))
+
+
 def hdf5(spark: SparkSession, path: str) -> DataFrame:
     """Not available in any build."""
     raise SourceError("HDF5 is not supported")

@@ -42,7 +42,8 @@ def converted(value: Column, dtype: str) -> Column:
     if dtype in ("float64", "float32", "float16", "bfloat16"):
         return x.cast(spark_type(dtype))
     if dtype == "uint64":
-        return F.when(F.isnan(x), None).otherwise(F.expr("0").cast("decimal(20,0)") + F.floor(x).cast("decimal(20,0)"))
+        cut = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("decimal(20,0)")
+        return F.when(F.isnan(x), None).when(cut < 0, (cut + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(cut)
     whole = F.when(F.isnan(x), 0).otherwise(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
     if dtype == "int64":
         return whole.cast("long")
