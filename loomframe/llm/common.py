@@ -1,17 +1,17 @@
-"""What several corpus operators share: staged tables, word hashing in numpy, connected components."""
+"""What several corpus operators share: word hashing in numpy, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.positions import shared_dir, staged  # noqa: F401  the operators stage by these too
+
 #: White space as the contracts have it: \x20 and \x09 to \x0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 #: Native spelling of the same word class, for Spark's regular expressions.
@@ -20,25 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 2 << 20
 
 
-# --- staged tables -----------------------------------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomframe-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends here, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# --- expressions -------------------------------------------------------------------------------------------------
 
 
 def held(value: Column) -> Column:
@@ -51,7 +33,7 @@ def held(value: Column) -> Column:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 over uint64."""
+    """Finaliser of splitmix64 over uint64; its constants here and in ``stream`` are fixed values."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -147,6 +129,21 @@ def runs(hashes: np.ndarray, width: int, seed: int = 101) -> np.ndarray:
 # --- connected components ----------------------------------------------------------------------------------------
 
 
+#: With more edges than this in all, those of one node are dealt to so many tasks.
+SALT_EDGES, SALTS = 1_000_000, 32
+
+
+def _with_least(edges: DataFrame, salted: bool) -> tuple[DataFrame, DataFrame]:
+    """``edges(a, b)`` with m, the least b of each a, and (a, m) of each a. ``salted``: a hub's edges never meet in one task but are
+    summed up and joined by (a, part of b), and only one row for each part meets."""
+    if not salted:
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        return edges.join(low, "a"), low
+    parts = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("tinyint"))
+    low = parts.groupBy("a", "s").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_set("s").alias("s"))
+    return parts.join(low.select("a", "m", F.explode("s").alias("s")), ["a", "s"]).drop("s"), low.select("a", "m")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the component's smallest node.
 
@@ -154,14 +151,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     and one join, each step's edges are staged, and only a count and a checksum come to the driver.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges")
-    seen = None
+    seen, salted = None, now.count() > SALT_EDGES
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        both, _ = _with_least(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), salted)
+        large = both.select("a", "b", F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        told, low = _with_least(large, salted)
+        small = told.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = staged(small.where("a <> b").distinct(), f"{label}-edges")
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (mark.n, mark.x) == seen or not mark.n:

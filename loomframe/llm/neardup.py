@@ -4,7 +4,8 @@ Each document becomes the set of its distinct word shingles. ``BANDS * ROWS`` Mi
 samples into a bitmap of parities gives the odd sketch: the population count of the XOR of two sketches is at most twice the number
 of samples in which the documents differ. Documents with one set are one class, so exact copies cost one row each. Classes that
 meet in a band and whose sketches are near form clusters; inside a cluster, blocks of full sets are compared exactly, and a block
-returns no more than a spanning forest of its links, so no group is ever expanded into pairs.
+returns no more than a spanning forest of its links, so no group is ever expanded into pairs. A large band or cluster is first
+compared with a few representatives. What these connect needs no comparison with each other any more; only the rest meets all.
 
 Chance of losing a link at the threshold itself: (1 - 0.85**4)**24 = 2e-8 by the bands, below 1e-8 by the sketch bound.
 """
@@ -12,11 +13,11 @@ Chance of losing a link at the threshold itself: (1 - 0.85**4)**24 = 2e-8 by the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import common
@@ -26,6 +27,10 @@ BANDS, ROWS = 24, 4
 SKETCH_BITS = 1024
 #: Documents in one block of exact comparison, and band members in one block of sketch comparison.
 SET_BLOCK, SKETCH_BLOCK = 96, 512
+#: Representatives of a larger group.
+PIVOTS = 4
+#: The copies of one text are dealt to so many tasks where they get their component.
+SALTS = 64
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -81,9 +86,12 @@ def sketch_bound(threshold: float) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     odd = common.stream(7, BANDS * ROWS) | np.uint64(1)
+    seen = 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
+            salts = (np.arange(part.num_rows) + seen) % SALTS
+            seen += part.num_rows
             sizes, digests, minima = [], [], np.zeros((part.num_rows, len(odd)), np.uint64)
             for k, own in enumerate(shingle_sets(part.column(1))):
                 sizes.append(len(own))
@@ -94,12 +102,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             sketches = odd_sketch(minima)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands, pa.array([s.tobytes() for s in sketches], pa.binary())],
-                ["doc_id", "rid", "n_shingles", "digest", "bands", "sketch"],
+                [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands, pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(salts.astype(np.int8))],
+                ["doc_id", "rid", "n_shingles", "digest", "bands", "sketch", "salt"],
             )
 
 
-SIGNATURE = "doc_id long, rid long, n_shingles long, digest binary, bands array<long>, sketch binary"
+SIGNATURE = "doc_id long, rid long, n_shingles long, digest binary, bands array<long>, sketch binary, salt tinyint"
 
 
 class Forest:
@@ -227,16 +235,61 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "cluster", "n", "members"]).filter(pa.array(same, pa.bool_()))
 
 
-def _tasks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """``rows`` with ``task`` and ``side``: a group of up to ``block`` rows is one task (side -1); a larger one is dealt into blocks,
-    with a task for each block (side -1) and for each two of them (side 0 and 1)."""
-    parts = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("parts", parts)
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _parts(n: str, block: int) -> Column:
+    return F.ceil(F.col(n) / F.lit(block)).cast("int")
+
+
+def _own(parts: Column) -> Column:
+    """The block of a node, of so many."""
+    return F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
+
+
+def _dealt(tasks: DataFrame) -> DataFrame:
+    return tasks.repartition("task").sortWithinPartitions("task", "node")
+
+
+def linked(rows: DataFrame, key: str, payload: str, block: int, compare: Callable, label: str, large: bool, score: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that connect what ``compare`` links inside the groups of ``rows(node, key, n, payload)``, n being a group's size.
+
+    A group of up to ``block`` rows is one task (side -1). Of a larger one, PIVOTS rows are compared with all: those of the highest
+    ``score(node, score)`` in each of as many classes of nodes, or else of the highest hash. Rows that link with the same pivot are
+    connected by it, so those of the pivot with most rows are not compared with each other; every other row meets all rows of the
+    group, by blocks: two blocks are a task with sides 0 and 1. No pair is left out but those that a pivot has connected. ``large``:
+    whether any group has more than ``block`` rows.
+    """
+    few = rows.where(F.col("n") <= block).select("node", F.xxhash64(key).alias("task"), F.lit(-1).alias("side"), payload)
+    out = _dealt(few).mapInArrow(compare, "a binary, b binary")
+    if not large:
+        return out
+    big = rows.where(F.col("n") > block)
+    parts = _parts("n", block)
+    ranked = big.select(key, "node", "n").join(score, "node") if score is not None else big.select(key, "node", "n", F.xxhash64("node", F.lit(1)).alias("score"))
+    best = (F.max_by("node", F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PIVOTS)) == q, F.struct("score", "node"))) for q in range(PIVOTS))
+    pivots = ranked.groupBy(key).agg(F.array(*best).alias("pivots")).select(key, F.explode(F.array_compact("pivots")).alias("node"))
+    many = big.select("node", F.xxhash64(F.col(key), _own(parts)).alias("task"), F.lit(0).alias("side"), payload)
+    held = big.join(pivots, [key, "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    star = common.staged(_dealt(many.unionByName(held.select("node", F.xxhash64(F.col(key), "other").alias("task"), F.lit(1).alias("side"), payload))).mapInArrow(compare, "a binary, b binary"), f"{label}-pivots")
+    pivots = pivots.select(key, F.col("node").alias("root"))
+    ends = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = ends.join(pivots, "root").select(key, "node", "root").unionByName(pivots.select(key, F.col("root").alias("node"), "root")).groupBy(key, "node").agg(F.min("root").alias("root"))
+    rooted = common.staged(big.select("node", key, "n").join(roots, [key, "node"], "left"), f"{label}-rooted")
+    counts = rooted.groupBy(key, "root").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    main = counts.groupBy(key).agg(F.max_by("root", F.when(F.col("root").isNotNull(), F.struct("m", "root"))).alias("main"), F.coalesce(F.max(F.when(F.col("root").isNotNull(), F.col("m"))), F.lit(0)).alias("n_main"), F.max("n").alias("n"))
+    main = main.where("n_main < n").withColumn("own", F.explode(F.sequence(F.lit(0), parts - 1)))  # a large group's rows find it by block
+    told = rooted.withColumn("own", _own(parts)).join(main.drop("n"), [key, "own"]).withColumn("n_rest", F.col("n") - F.col("n_main"))
+    told = told.select("node", key, F.coalesce(F.col("root") == F.col("main"), F.lit(False)).alias("in_main"), _parts("n_main", block).alias("mains"), _parts("n_rest", block).alias("rests"))
+    rest = told.where("not in_main").withColumn("own", _own(F.col("rests")))
+    same = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") == low, 0).otherwise(1).cast("int")
-    return other.withColumn("task", F.xxhash64(F.col(key), low, high)).withColumn("side", side).drop("own", "other", "parts")
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") == low, 0).otherwise(1)
+    across = [
+        same.select("node", key, F.xxhash64(F.col(key), F.lit("rest"), low, high).alias("task"), side.alias("side")),
+        rest.where("mains > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mains") - 1))).select("node", key, F.xxhash64(F.col(key), F.lit("main"), "own", "other").alias("task"), F.lit(0).alias("side")),
+        told.where("in_main").withColumn("own", _own(F.col("mains"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("node", key, F.xxhash64(F.col(key), F.lit("main"), "other", "own").alias("task"), F.lit(1).alias("side")),
+    ]
+    tasks = across[0].unionByName(across[1]).unionByName(across[2]).join(big.select("node", key, payload), ["node", key]).drop(key)
+    met = _dealt(tasks.select("node", "task", F.col("side").cast("int").alias("side"), payload)).mapInArrow(compare, "a binary, b binary")
+    return out.unionByName(star).unionByName(met)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -255,26 +308,52 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     sig = common.staged(_read(docs).select("doc_id", "text", "rid").mapInArrow(_signatures, SIGNATURE), "neardup-sig")
     classes = common.staged(
-        sig.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("least_id"), F.min("rid").alias("rid"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")),
+        sig.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(
+            F.min("doc_id").alias("least_id"), F.min("rid").alias("rid"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"), F.collect_set("salt").alias("salts"),
+        ),
         "neardup-classes",
-    )
+    )
     keys = classes.select("node", F.explode("bands").alias("band"))
-    full = keys.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    full = common.staged(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-bands")
     met = keys.join(full, "band").join(classes.select("node", "sketch"), "node")
-    near = _dealt(_tasks(met, "band", "members", SKETCH_BLOCK).select("node", "task", "side", "sketch")).mapInArrow(_near_sketches(sketch_bound(percent / 100)), "a binary, b binary")
+    above = lambda sizes, block: bool(sizes.where(F.col("n") > block).limit(1).count())
+    near = linked(met, "band", "sketch", SKETCH_BLOCK, _near_sketches(sketch_bound(percent / 100)), "neardup-sketches", above(full, SKETCH_BLOCK))
     clusters = common.components(near, "neardup-near")
     sized = clusters.groupBy("root").agg(F.count("*").alias("n"))
     wanted = clusters.join(sized, "root").join(classes.select("node", "rid"), "node").select("rid", "node", F.col("root").alias("cluster"), "n")
     sets = _read(docs).select("rid", "text").join(wanted, "rid").select("node", "cluster", "n", "text").mapInArrow(_members, "node binary, cluster binary, n long, members binary")
-    exact = _dealt(_tasks(sets, "cluster", "n", SET_BLOCK).select("node", "task", "side", "members")).mapInArrow(_exact(percent), "a binary, b binary")
+    score, large = None, above(sized, SET_BLOCK)
+    if large:
+        sets = common.staged(sets, "neardup-sets")
+        score = keys.join(full, "band").groupBy("node").agg(F.sum("n").alias("score"))  # the original of many copies shares bands with most
+    exact = linked(sets, "cluster", "members", SET_BLOCK, _exact(percent), "neardup-sets", large, score)
     links = common.components(exact, "neardup-links")
     named = links.join(classes.select("node", "least_id"), "node")
-    linked = links.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
-    copies = classes.where("copies > 1").join(linked, "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", F.col("digest").alias("node")).join(linked.unionByName(copies), "node", "left")
+    joined = links.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
+    copies = classes.where("copies > 1").join(joined, "node", "left_anti").select("node", F.col("least_id").alias("component_id"))
+    cells = joined.unionByName(copies).join(classes.select("node", "salts"), "node").select(F.col("node").alias("digest"), "component_id", F.explode("salts").alias("salt"))
+    known = sig.where("digest is not null").select("doc_id", "n_shingles", "digest", "salt").join(cells, ["digest", "salt"], "left").select("doc_id", "n_shingles", "component_id")
+    out = known.unionByName(sig.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     name = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", name.alias("component_id"), F.coalesce(F.col("doc_id") == name, F.col("doc_id").isNull() & name.isNull()).alias("kept"))
 
 
-def _dealt(tasks: DataFrame) -> DataFrame:
-    return tasks.repartition("task").sortWithinPartitions("task")
+#: DuckDB SQL for ``groups`` at 85 per cent: all pairs of different sets that share a shingle, and everything that can be reached.
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles FROM d
+),
+c AS (SELECT rid, doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS class, shingles FROM s),
+classes AS (SELECT class, any_value(n) AS n, any_value(shingles) AS shingles, min(doc_id) AS least FROM c WHERE n > 0 GROUP BY class),
+each AS (SELECT class, n, unnest(shingles) AS shingle FROM classes),
+links AS (SELECT a.class AS x, b.class AS y FROM each a JOIN each b ON a.shingle = b.shingle AND a.class < b.class GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT class, class FROM classes UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
+named AS (SELECT reach.x AS class, min(least) AS component_id FROM reach JOIN classes ON reach.y = classes.class GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = coalesce(component_id, doc_id), doc_id IS NULL AND component_id IS NULL) AS kept
+FROM c LEFT JOIN named USING (class)
+"""

@@ -67,7 +67,9 @@ def test_words_are_cut_and_hashed_like_python(docs):
     assert int(common.word_hashes(np.frombuffer(b"abcdef", np.uint8), np.array([0]), np.array([6]), 3)[0]) == one(b"abc")
 
 
-def test_components_name_each_node_by_the_least(spark):
+@pytest.mark.parametrize("most", [common.SALT_EDGES, 3])
+def test_components_name_each_node_by_the_least(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SALT_EDGES", most)
     edges = [(k, k + 1) for k in range(1, 30)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (5, 5)]
     df = spark.createDataFrame([(bytearray(a.to_bytes(2, "big")), bytearray(b.to_bytes(2, "big"))) for a, b in edges], "a binary, b binary")
     roots = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in common.components(df, "t").collect()}
@@ -462,16 +464,32 @@ def test_groups_like_brute_force(spark, docs, empty):
     assert {(r.doc_id, r.component_id) for r in known if r.doc_id in (1, 2, 3, 4, 5, 6, 7, 8)} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 7)}
 
 
-def test_blocks_lose_no_link(monkeypatch, spark):
+def near_copies(rng, base, n, edits, mark):
+    """``n`` texts, each ``base`` with other words at so many places."""
+    out = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(len(base), edits, replace=False):
+            own[at] = f"{mark}{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_groups_lose_no_link(monkeypatch, spark):
+    """Stars around an original whose copies are near it but not each other, a chain, and two groups that one text joins."""
     monkeypatch.setattr(neardup, "SET_BLOCK", 7)
     monkeypatch.setattr(neardup, "SKETCH_BLOCK", 5)
-    base, rows, rng = text(70, 120).split(), [], np.random.default_rng(8)
-    for k in range(60):
-        own = list(base)
-        for at in rng.choice(120, 2, replace=False):
-            own[at] = f"g{k}"
-        rows.append((k, " ".join(own)))
-    assert sorted(tuple(r) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_groups(rows)
+    rng = np.random.default_rng(9)
+    first, second = text(70, 120).split(), text(71, 100).split()
+    texts = [" ".join(first), *near_copies(rng, first, 60, 1, "g"), *near_copies(rng, second, 30, 1, "h")]
+    chain = list(second)
+    for k in range(20):
+        chain[rng.integers(100)] = f"c{k}"
+        texts.append(" ".join(chain))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500 + k, texts[0]) for k in range(40)] + [(None, texts[0]), (None, texts[5]), (600, None), (601, "")]
+    out = sorted((tuple(r) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert [r for r in out if r[0] is not None] == sorted(brute_groups([r for r in rows if r[0] is not None]), key=str)
+    assert sorted(str(r[2]) for r in out if r[0] is None) == ["0", "0"] and not any(r[3] for r in out if r[0] is None)
 
 
 def test_odd_sketches_stay_below_their_bound():
