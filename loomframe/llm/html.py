@@ -19,11 +19,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|annotation-xml|annotation|iframe|object|canvas|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
+#: Elements whose whole content is no text of the page.
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "annotation-xml", "annotation", "iframe", "object", "canvas", "select"}
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, slash, name, attributes) of the tags of a page, in time linear in its length; comments, declarations and whole raw
+    elements have no name.
+
+    A quote inside a tag runs to its end, so a ">" in it closes nothing. Where that leaves a tag open to the end of the page, quotes
+    are not trusted from there on, and the next ">" closes. Without any further ">" the rest is text.
+    """
+    at, last, quotes = 0, source.rfind(">"), True
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+            continue
+        m = _NAME.match(source, at + 1)
+        if not m and source[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        if at > last:
+            return
+        if not m:
+            end = source.index(">", at) + 1
+            yield at, end, "", "", ""
+            at = end
+            continue
+        found = _ATTRIBUTES.match(source, m.end()) if quotes else None
+        quotes &= found is not None
+        if found is None and m.end() > last:
+            return
+        end = found.end() if found else source.index(">", m.end()) + 1
+        name, attributes = m[2].lower(), source[m.end() : end - 1]
+        if name in RAW and not m[1] and not _CLOSED.search(attributes):
+            stop = _RAW_END[name].search(source, end)
+            end = stop.end() if stop else len(source)
+            name = ""
+        yield at, end, m[1], name, attributes
+        at = end
+
+
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v\xa0]+")
@@ -47,18 +90,54 @@ ASIDE_WORDS = {
 }
 #: Names that overrule the list above.
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body"}
+#: Class names of elements that are main text or hold it, and of elements that never are: what the parts of a name are judged by.
+MAIN_NAMES = (
+    "article", "article-body", "article-content", "post-content", "post-body", "post-text", "entry-content", "entry", "content", "content-area", "content-body", "content-container", "main", "main-content", "page-content",
+    "page-body", "story", "story-body", "story-text", "text", "text-container", "container", "page-container", "wrapper", "content-wrapper", "inner", "row", "section", "widget-container", "widget-content", "widget-text",
+    "modal-free-body", "free-text", "article-comments-count", "comments-count", "article-text",
+)
+ASIDE_NAMES = (
+    *sorted(ASIDE_WORDS), "ad-slot", "ad-container", "ads-wrapper", "advert-content", "banner-content", "cookie-notice", "cookie-content", "cookie-container", "consent-wrapper", "comment-list", "comment-body", "comment-content", "comment-text",
+    "comment-wrapper", "comments-area", "comments-container", "comments-wrapper", "article-comments", "post-comments", "story-comments", "content-comments", "entry-comments", "sidebar-widget", "widget-area", "widget-title", "footer-widget",
+    "widgets", "sidebar-content", "sidebar-container", "nav-container", "nav-wrapper", "menu-container", "footer-content", "footer-container", "footer-inner", "newsletter-container", "newsletter-content", "modal-content", "modal-body",
+    "modal-dialog", "popup-content", "related-posts", "related-content", "related-articles", "article-related", "post-related", "share-container", "social-container", "article-share", "post-share", "promo-content", "search-container",
+    "search-wrapper", "notice-text", "alert-text", "login-container", "article-footer", "post-footer", "post-navigation", "breadcrumb-container", "sponsored-content", "ad-text", "ad-inner",
+)
 #: Names with these tell of another element (no-sidebar, has-comments), not of this one.
 ABOUT_WORDS = {"no", "has", "with", "without", "layout"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_HEADING = re.compile(r"\s*<(h[1-6])\b[^>]*>(.*?)</\1", re.S | re.I)
+_HEADING = re.compile(r"\s*<(h[1-6])(?=[\s>])[^>]*>((?:[^<]|<(?!/?h[1-6]))*+)</\1", re.I)
+
+
+def _name_parts(name: str) -> list[str]:
+    return [x.lower() for x in _PART.findall(name)]
+
+
+@lru_cache
+def name_odds() -> dict[str, float]:
+    """Log-odds of a part of a name that the element is aside, counted on the labelled names."""
+    counts: dict[str, list[int]] = {}
+    for k, names in enumerate((ASIDE_NAMES, MAIN_NAMES)):
+        for name in names:
+            for x in set(_name_parts(name)):
+                counts.setdefault(x, [0, 0])[k] += 1
+    return {x: math.log((a + 0.5) / (m + 0.5)) for x, (a, m) in counts.items()}
+
+
+@lru_cache(maxsize=1 << 16)
+def aside_name(name: str) -> bool:
+    """Whether a class, id or role tells that the element is never main text: it has a listed part, speaks of no other element, and its
+    parts together are likelier aside."""
+    parts, odds = _name_parts(name), name_odds()
+    return any(x in ASIDE_WORDS for x in parts) and not any(x in ABOUT_WORDS for x in parts) and not (parts[-1] in CONTENT_WORDS and parts[0] in CONTENT_WORDS) and sum(odds.get(x, 0.0) for x in parts) > 0
 
 
 def _slug(text: str) -> str:
     return "-".join(re.findall(r"[^\W_]+", html.unescape(re.sub(r"<[^>]*>", "", text)).lower()))
 
 
-def _is_aside(tag: str, attributes: str, depth_in_holder: int, source: str = "", at: int = 0) -> bool:
+def _is_aside(tag: str, attributes: str, depth_in_holder: int, source: str = "", at: int = 0, names: bool = True) -> bool:
     """``source`` from ``at`` on is what the element holds. An id or aria-label inside a holder, of a section, or made from the heading
     that follows counts only if all its words are listed; a heading is never aside by its name."""
     if tag in ASIDE or tag == "header" and not depth_in_holder:
@@ -69,7 +148,7 @@ def _is_aside(tag: str, attributes: str, depth_in_holder: int, source: str = "",
         return True
     if tag in HOLDERS and "comment" not in attributes.lower():
         return False
-    if tag in HEADINGS:
+    if tag in HEADINGS or not names:
         return False
     for m in _NAMED.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -77,17 +156,17 @@ def _is_aside(tag: str, attributes: str, depth_in_holder: int, source: str = "",
             first = _HEADING.match(source, at)
             if depth_in_holder or tag == "section" or first and _slug(first[2]) == _slug(value):
                 continue
-        for name in value.split():
-            parts = [x.lower() for x in _PART.findall(name)]
-            if any(x in ASIDE_WORDS for x in parts) and not any(x in ABOUT_WORDS for x in parts) and not (parts[-1] in CONTENT_WORDS and parts[0] in CONTENT_WORDS):
-                return True
+        if any(map(aside_name, value.split())):
+            return True
     return False
 
 
 class Page:
     """The page as a sequence: blocks of text with their word class, and the tags between them."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
+        """``names``: whether classes, ids and roles tell what is aside, or elements alone."""
+        self.names = names
         #: ("tag", name), ("held", name) for a tag inside a holder, or ("text", index into blocks)
         self.events: list[tuple[str, object]] = []
         #: [pieces of text, words in links, words not in links, inside a holder]
@@ -97,6 +176,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, bool, bool]] = []  # name, aside from here on, counts as holder
+        places: dict[str, list[int]] = {}  # where in the stack a name is open
+        blocks: list[int] = []  # where blocks are
         aside = holders = links = 0
         text: list[str] = []
         in_link = in_text = 0
@@ -124,23 +205,23 @@ class Page:
             nonlocal aside, holders, links
             while len(stack) > to:
                 name, was_aside, holder = stack.pop()
+                places[name].pop()
                 if name in BLOCKS:
+                    blocks.pop()
                     flush()
                 aside -= was_aside
                 holders -= holder
                 links -= name == "a"
 
         at = 0
-        for m in _TOKEN.finditer(source):
-            add(source[at : m.start()])
-            at = m.end()
-            slash, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        for begin, end, slash, name, attributes in tags(source):
+            add(source[at:begin])
+            at = end
             if not name:
                 continue
-            name = name.lower()
             if slash:
-                at_open = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if at_open is None or name not in BLOCKS and any(stack[k][0] in BLOCKS for k in range(at_open, len(stack))):
+                at_open = places[name][-1] if places.get(name) else None
+                if at_open is None or name not in BLOCKS and blocks and blocks[-1] > at_open:
                     if name in BLOCKS:
                         flush()
                     continue
@@ -150,18 +231,20 @@ class Page:
                 continue
             if name in BLOCKS:
                 flush()
-                open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
-                if open_p is not None and stack[open_p][0] in CLOSED_BY_BLOCK or open_p is not None and name == "li" and stack[open_p][0] == "li":
-                    close(open_p)
+                if blocks and (stack[blocks[-1]][0] in CLOSED_BY_BLOCK or name == "li" and stack[blocks[-1]][0] == "li"):
+                    close(blocks[-1])
             elif name in ("br", "td", "th", "img", "input"):
                 add(" ")
             if not aside:
                 self.events.append(("held" if holders else "tag", name))
-            if name in VOID or (attributes or "").endswith("/"):
+            if name in VOID or _CLOSED.search(attributes):
                 continue
-            off = _is_aside(name, attributes or "", holders, source, at)
+            off = _is_aside(name, attributes, holders, source, at, self.names)
             holder = name in HOLDERS and not off and not aside
             self.held |= holder
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
             stack.append((name, off, holder))
             aside += off
             holders += holder
@@ -250,6 +333,8 @@ def main_text(source: str | None) -> str:
         return ""
     score = weights()
     page = Page(source)
+    if not page.blocks:  # a wrapper's name may tell of what it holds beside the text: then elements alone decide
+        page = Page(source, names=False)
     best, total, begin, span = 0.0, 0.0, 0, (0, 0)
     for k, (kind, x) in enumerate(page.events):
         if kind == "held":
@@ -279,7 +364,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of ``pages(page_id, url, html)``.
 
     Blocks are joined by an empty line in page order, character references decoded, and white space inside a block made one space. A
-    null or empty html, or one without main text, gives an empty text. Repeated rows and null ids each give their own row; other
+    null or empty html, or one without main text, gives an empty text. A page that is broken off or nested without end takes time in
+    proportion to its length. Repeated rows and null ids each give their own row; other
     columns are ignored. Whole pages are read; nothing is cut.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

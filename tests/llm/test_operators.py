@@ -3,6 +3,7 @@ import itertools
 import math
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -564,6 +565,49 @@ def test_main_text_keeps_math():
     assert html.main_text(f"<article><p>let {math} hold</p></article>") == "let x=2 hold"
 
 
+@pytest.mark.parametrize("name", ["elementor-widget-container", "modal-free-body", "widget-content", "article-comments-count story", "no-sidebar", "content-with-menu"])
+def test_main_text_keeps_what_a_wrapper_is_named_after(name):
+    for page in (f'<article><div class="{name}">{BODY}</div></article>', f'<body><nav>{MENU}</nav><div class="{name}">{BODY}</div><div class="sidebar">{MENU}</div></body>'):
+        assert html.main_text(page).split("\n\n") == PARAGRAPHS
+    for aside in ("comment-content", "article-comments", "comments-area", "modal-body", "sidebar-content", "related-content", "widget", "footer-content", "sponsored-content"):
+        assert html.main_text(f'<article>{BODY}<div class="{aside}"><p>{text(9, 40)}</p></div></article>').split("\n\n") == PARAGRAPHS
+
+
+def test_tags_end_at_their_names():
+    icon = '<svg-icon name="x"></svg-icon>'
+    assert html.main_text(f"<article><p>{PARAGRAPHS[0]} {icon}</p><p>{PARAGRAPHS[1]}</p></article>").split("\n\n") == PARAGRAPHS[:2]
+    assert html.main_text(f"<article><p>{PARAGRAPHS[0]} <svg/> more</p><svg><text>no</text></svg><p>{PARAGRAPHS[1]}</p></article>").split("\n\n") == [f"{PARAGRAPHS[0]} more", PARAGRAPHS[1]]
+    assert html.main_text(f'<article><p>{PARAGRAPHS[0]} <a href=/x/>link</a> end</p><p title="a > b">{PARAGRAPHS[1]}</p></article>').split("\n\n") == [f"{PARAGRAPHS[0]} link end", PARAGRAPHS[1]]
+    assert html.main_text(f'<article><p class="x>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></article>').split("\n\n") == PARAGRAPHS[:2]
+
+
+@pytest.mark.parametrize("source", [
+    "<article>" + '<div a="x' * 110_000, "<article>" + '<a ">" ' * 140_000, "<article>" + "<div>" * 100_000 + "</x>" * 100_000, "<article><b>" + "<div>" * 100_000 + "</b>" * 100_000, "<!" * 500_000,
+    "<article>" + "<p id=x><h1>" * 80_000, "<" * 1_000_000, "<article>" + "<a b='\">" * 110_000, "<script>" * 120_000, "<article>" + "word <i " * 120_000,
+])
+def test_hostile_pages_take_time_in_proportion(source):
+    began = time.perf_counter()
+    html.main_text(source)
+    assert time.perf_counter() - began < 20  # a quadratic scan takes half an hour
+
+
+def test_the_region_is_the_maximum_scoring_one():
+    rng = np.random.default_rng(6)
+    score = html.weights()
+    for _ in range(60):
+        inner = "".join(str(rng.choice([f"<p>{text(int(rng.integers(99)), int(rng.integers(1, 12)))}</p>", f'<a href="/">{text(1, 2)}</a>', "<ul><li>x</li></ul>", "<div><br></div>", "<table><tr><td>1</td></tr></table>"])) for _ in range(int(rng.integers(1, 12))))
+        page = html.Page(f"<body>{inner}</body>")
+        value = [0.0 if kind == "held" else score.get(f"<{x}>", score["other"]) if kind == "tag" else page.blocks[x][2] * score[page.word_class(page.blocks[x])] + page.blocks[x][1] * score["link"] for kind, x in page.events]
+        best = max((sum(value[a:b]), -a) for a in range(len(value)) for b in range(a + 1, len(value) + 1))[0]
+        got_ = html.main_text(f"<body>{inner}</body>").split("\n\n")
+        texts = [page.blocks[x][0] for kind, x in page.events if kind == "text"]
+        if best <= 0:
+            assert got_ == [""]
+        else:  # some run of the greatest sum has just these texts
+            runs = [[page.blocks[x][0] for kind, x in page.events[a:b] if kind == "text"] for a in range(len(value)) for b in range(a + 1, len(value) + 1) if sum(value[a:b]) > best - 1e-6]
+            assert got_ in runs and set(got_) <= set(texts)
+
+
 def test_main_text_of_odd_pages(spark):
     assert html.main_text("<article><h1>A &amp; B</h1><p>x\n  y&nbsp;z<br>q <b>bold</b></p><!-- <p>no</p> --></article>") == "A & B\n\nx y z q bold"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav><a>only</a></nav>") == ""
