@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from loomframe.llm import common
 
-#: Labelled rows that the fit reads at most (those with the least hash of their doc_id), and terms that it keeps at most.
+#: Labelled documents that the fit reads at most (those of the least hash), and terms of the greatest z that a model keeps at most, both
+#: parameters of ``scored``: what comes to the driver is bounded by their product.
 MAX_LABELLED, MAX_TERMS = 12_000, 1500
 #: Lengths in bytes of the word beginnings that count as terms of their own.
 BEGINNINGS = (5, 6, 7)
@@ -161,8 +162,8 @@ def solve(x: np.ndarray, y: np.ndarray, twins: np.ndarray, steps: int = 400) ->
     return w, b
 
 
-def fit(known: DataFrame) -> Model:
-    """The model from ``known(text, y)``, at most MAX_LABELLED rows; without any row all scores are 0."""
+def fit(known: DataFrame, max_terms: int = MAX_TERMS) -> Model:
+    """The model from ``known(text, y)``, with at most ``max_terms`` terms; without any row all scores are 0."""
     known = common.staged(known, "toxicity-known")
     total = known.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = int(total.p or 0), int(total.n)
@@ -171,7 +172,7 @@ def fit(known: DataFrame) -> Model:
     counts = known.select("text", "y").mapInArrow(_present, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     share = (F.col("t") + F.col("o")) / F.lit(float(n))
     z = (F.col("t") / F.lit(float(max(p, 1))) - F.col("o") / F.lit(float(max(n - p, 1)))) / F.sqrt(share * (1 - share + F.lit(1.0 / n)) * F.lit(1.0 / max(p, 1) + 1.0 / max(n - p, 1)))
-    best = counts.where(F.col("t") + F.col("o") >= LEAST_TEXTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(MAX_TERMS).select("term").collect()
+    best = counts.where(F.col("t") + F.col("o") >= LEAST_TEXTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(max_terms).select("term").collect()
     terms = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
     x, y, twins = [], [], []
     for row in known.select("text", "y").mapInArrow(_design(terms), "y int, x binary, twins binary").toLocalIterator():
@@ -189,17 +190,26 @@ def part(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("long").cast("string"), "UTF-8")), F.lit(of))
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, held_out: int = 0) -> DataFrame:
+def learned(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(text, y) of at most ``most`` labelled documents: ``rows(doc_id, text)`` that ``known(doc_id, y)`` labels, one for each doc_id,
+    text and label, those of the least hash. The bound counts documents that exist, each once, however often a row is repeated."""
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    keys = rows.select("doc_id", "h").join(known, "doc_id").distinct()
+    chosen = common.staged(keys.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h", "y").limit(most), "toxicity-labels")
+    return rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "y"]).select("text", "y")
+
+
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, held_out: int = 0, most: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of ``docs(doc_id, text)``.
 
     Labels are learned from ``labels(doc_id, label)`` of 0 or 1 only where crc32(doc_id) mod ``of`` is not ``held_out``, from at most
-    MAX_LABELLED rows. A null or empty text gets the score of a text without terms. A null doc_id is never learned from and counts as
-    not held out; null labels are left out, repeated labels count as often as they occur. Only doc_id, text and the label are read.
+    ``most`` documents and with at most ``max_terms`` terms. A null or empty text gets the score of a text without terms. A null
+    doc_id is never learned from and counts as not held out; null labels are left out, repeated labels and rows count once. Only
+    doc_id, text and the label are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(part(F.col("doc_id"), of) != held_out)
-    known = common.staged(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_LABELLED), "toxicity-labels")
-    model = fit(rows.join(F.broadcast(known), "doc_id").select("text", "y"))
+    model = fit(learned(rows, known, most), max_terms)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

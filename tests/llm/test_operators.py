@@ -301,6 +301,44 @@ def test_held_out_accuracy(spark, name, label, least):
     assert out.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= least
 
 
+def test_the_bound_of_labelled_rows_counts_documents_once(spark):
+    rows = spark.createDataFrame([(k % 10, f"text {k % 10}") for k in range(200)] + [(3, "another")], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(10)] * 2 + [(1000 + k, 1) for k in range(500)], "doc_id long, y int")
+    out = sorted((r.text, r.y) for r in toxicity.learned(rows, known, 100).collect())
+    assert out == sorted([(f"text {k}", k % 2) for k in range(10)] + [("another", 1)])
+    assert toxicity.learned(rows, known, 4).count() == 4
+
+
+def test_solutions_of_both_classifiers_like_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, twins, w = rng.normal(size=(80, 4)).astype(np.float32), rng.normal(size=(30, 4)).astype(np.float32), rng.normal(size=4)
+    y = (x @ w + rng.normal(size=80) > 0).astype(np.float32)
+    found, bias = toxicity.solve(x, y, twins, steps=4000)
+
+    def loss(v):
+        z = x @ v[:4] + v[4]
+        return float(np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE * v[:4] @ v[:4] / 2 + toxicity.TWIN_PENALTY * np.mean((twins @ v[:4]) ** 2) / 2)
+
+    best = np.append(found.astype(float), bias)
+    assert all(loss(best) <= loss(best + 0.02 * rng.normal(size=5)) + 1e-5 for _ in range(200))  # convex: a local minimum is the minimum
+    stats, labels = rng.normal(size=(300, len(quality.STATISTICS))), rng.integers(0, 2, 300)
+    known = spark.createDataFrame([(s.tolist(), int(l), k % 2) for k, (s, l) in enumerate(zip(stats, labels, strict=True))], "x array<double>, y int, fold int")
+    model = quality.fit(known)
+    z = quality.features(stats, stats.mean(axis=0), stats.std(axis=0), model.projection, model.phase)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * 300 * np.eye(z.shape[1]) / quality.FEATURES, z.T @ labels)
+    assert np.allclose(model.weights, want, rtol=1e-4, atol=1e-6)
+
+
+def test_isotonic_is_the_best_rising_fit():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        p, n = rng.integers(0, 4, 5).astype(float), np.full(5, 4.0)
+        knots = quality.isotonic(np.arange(5.0), p, n)
+        assert (np.diff(knots[1]) > 0).all()
+        means = [max(min(p[i : j + 1].sum() / 4 / (j + 1 - i) for j in range(k, 5)) for i in range(k + 1)) for k in range(5)]  # the max-min formula
+        assert sorted(set(np.round(means, 9))) == sorted(np.round(knots[1], 9))
+
+
 def test_counterfactuals_silence_identity_terms(spark):
     rng = np.random.default_rng(0)
     rows = []
