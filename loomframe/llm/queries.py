@@ -63,5 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_rules, op7_minhash_near_dedup, op8_html_extraction, op9_license_scan, op10_toxicity,
     )
 }
-#: The others hash, fit or parse in ways that SQL has no words for; tests hold them against brute force or held-out labels.
+#: The others hash by xxhash64, fit or parse, which DuckDB has no words for; tests hold them against brute force or held-out labels.
 ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.SQL, "op5_decontamination": decontam.SQL, "op6_quality_rules": rules.SQL, "op7_minhash_near_dedup": neardup.SQL, "op9_license_scan": licenses.sql()}
