@@ -2,12 +2,16 @@
 
 A text is compared as a whole, by paragraphs and by lines. Each of these passages is normalised and becomes its set of word bigrams.
 A template of b bigrams can reach a Dice coefficient of t only with passages of b*t/(2-t) to b*(2-t)/t bigrams, so a passage meets the
-templates that admit its size, by an equality of sizes against a small fixed table, and no others.
+templates that admit its size, by an equality of sizes against a small fixed table, and no others. Before that, texts and passages
+without any of a few words that every match must hold (``anchors``) are left aside; no match is lost by this.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +60,41 @@ def sizes(b: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(b * threshold / (2 - threshold) - 1e-9)), math.floor(b * (2 - threshold) / threshold + 1e-9)
 
 
+@functools.cache
+def anchors(threshold: float) -> tuple[str, ...]:
+    """Words of which every passage that reaches ``threshold`` against any template holds at least one.
+
+    A match shares at least ``sizes(b, threshold)[0]`` of a template's b bigrams. So many words are chosen that fewer than that are left
+    without a chosen word, in each template: words of six letters and more first, those in most bigrams before others; of shorter ones
+    that number squared counts against the templates that hold the word, which keeps articles and prepositions out.
+    """
+    left, common_in = [], Counter()
+    for _, text in TEMPLATES:
+        words = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+        pairs = set(zip(words[:-1], words[1:], strict=True))
+        left.append((pairs, sizes(len(pairs), threshold)[0]))
+        common_in.update(set(words))
+    chosen: list[str] = []
+    while left := [(pairs, least) for pairs, least in left if len(pairs) >= least]:
+        score: dict[str, float] = {}
+        for pairs, least in left:
+            for pair in pairs:
+                for word in set(pair):
+                    score[word] = score.get(word, 0) + 1 / (len(pairs) - least + 1)
+        chosen.append(max(score, key=lambda w: (len(w) >= 6, round(score[w] if len(w) >= 6 else score[w] ** 2 / common_in[w], 9), w)))
+        left = [({p for p in pairs if chosen[-1] not in p}, least) for pairs, least in left]
+    return tuple(chosen)
+
+
+def _may_match(lowered: Column, threshold: float) -> Column:
+    """Whether a text in lower case holds an anchor; long ones also count inside a word, which is cheaper and lets a little more pass."""
+    words = anchors(threshold)
+    long = [w for w in words if len(w) >= 6 and not any(len(v) >= 6 and v != w and v in w for v in words)]
+    short = "|".join(w for w in words if len(w) < 6)
+    inside = F.exists(F.array(*map(F.lit, long)), lambda w: lowered.contains(w))
+    return inside | lowered.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{short})(?![\p{{L}}\p{{N}}])") if short else inside
+
+
 def _bigrams(rows: DataFrame, words: str, name: str) -> DataFrame:
     w = F.col(words)
     return rows.withColumn(name, common.held(F.when(F.size(w) > 1, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))))
@@ -76,9 +115,11 @@ def hits(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     paragraphs = F.split(text, r"\n[ \t\r]*\n\s*")
     lines = F.split(text, r"\n")
     others = [c for c in docs.columns if c != "text"]
-    cut = docs.where("text is not null").select(*others, text.alias("text"), paragraphs.alias("paragraphs"), lines.alias("lines"))
+    whole = docs.where("text is not null").select(*others, text.alias("text"), common.held(F.lower(text)).alias("lowered")).where(_may_match(F.col("lowered"), threshold))
+    cut = whole.select(*others, "text", paragraphs.alias("paragraphs"), lines.alias("lines"))
     passages = F.concat(F.array("text"), F.when(F.size("paragraphs") > 1, F.col("paragraphs")).otherwise(F.array().cast("array<string>")), F.when(F.size("lines") > F.size("paragraphs"), F.col("lines")).otherwise(F.array().cast("array<string>")))
-    rows = cut.select(*others, F.explode(passages).alias("passage")).withColumn("words", common.held(_normal(F.col("passage"))))
+    rows = cut.select(*others, F.explode(passages).alias("passage")).withColumn("lowered", common.held(F.lower("passage"))).where(_may_match(F.col("lowered"), threshold)).drop("lowered")
+    rows = rows.withColumn("words", common.held(_normal(F.col("passage"))))
     least = min(sizes(len(set(zip(t.split()[:-1], t.split()[1:], strict=True))) or 1, threshold)[0] for _, t in TEMPLATES)
     rows = _bigrams(rows.where(F.size("words") > min(least, 2)), "words", "bigrams").withColumn("a", F.size("bigrams"))
     met = rows.join(F.broadcast(templates(docs.sparkSession, threshold)), "a")

@@ -664,6 +664,10 @@ def test_licences(spark, docs, empty):
     found = {r.doc_id: (r.n_licenses, r.licenses) for r in licenses.scanned(df).collect()}
     assert found == {1: (1, "MIT"), 2: (1, "MIT"), 3: (0, ""), 4: (0, ""), 5: (1, "CC-BY-NC-4.0"), 6: (0, ""), None: (1, "Apache-2.0"), 7: (0, "")}
     assert licenses.scanned(docs).count() == docs.count() and licenses.scanned(empty).count() == 0
+    for threshold, (_, t) in itertools.product((0.6, 0.75, 0.9), licenses.TEMPLATES):
+        words = re.findall("[a-z0-9]+", t.lower())
+        pairs = set(zip(words[:-1], words[1:], strict=True))
+        assert sum(not set(p) & set(licenses.anchors(threshold)) for p in pairs) < licenses.sizes(len(pairs), threshold)[0]
     low, high = licenses.sizes(100, 0.75)
     assert 2 * low / (low + 100) >= 0.75 > 2 * (low - 1) / (low + 99) and 2 * 100 / (high + 100) >= 0.75 > 2 * 100 / (high + 101)
 
