@@ -147,21 +147,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         yield rest, np.array([0, rest.num_rows])
 
 
-def _edges(kept: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.binary()), pa.array([b for _, b in kept], pa.binary())], ["a", "b"])
+def _edges(table: pa.Table, kept: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Pairs of rows of ``table`` as their nodes, and the task that met both."""
+    ends = np.array(kept, np.int64).reshape(-1, 2)
+    node, task = table.column("node").combine_chunks().cast(pa.binary()), table.column("task").to_numpy()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(ends[:, 0])), node.take(pa.array(ends[:, 1])), pa.array(task[ends[:, 0]])], ["a", "b", "task"])
+
+
+LINK = "a binary, b binary, task long"
 
 
 def _near_sketches(bound: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in _runs(batches):
-            out: list[tuple[bytes, bytes]] = []
-            nodes, sides = table.column("node").to_pylist(), table.column("side").to_numpy()
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(nodes), -1)
+            out: list[tuple[int, int]] = []
+            sides = table.column("side").to_numpy()
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(sides), -1)
             size = np.diff(at)
             two = at[:-1][size == 2]
             near = np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(axis=1) <= bound
             near &= (sides[two] < 0) | (sides[two] != sides[two + 1])
-            out += [(nodes[a], nodes[a + 1]) for a in two[near].tolist()]
+            out += [(a, a + 1) for a in two[near].tolist()]
             for lo, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 sketch, side, forest = sketches[lo : lo + n], sides[lo : lo + n], Forest(n)
                 for a in range(n - 1):
@@ -170,8 +176,8 @@ def _near_sketches(bound: int):
                         near &= side[a + 1 :] != side[a]
                     for b in np.flatnonzero(near).tolist():
                         forest.join(a, a + 1 + b)
-                out += [(nodes[lo + a], nodes[lo + b]) for a, b in forest.kept]
-            yield _edges(out)
+                out += [(lo + a, lo + b) for a, b in forest.kept]
+            yield _edges(table, out)
 
     return run
 
@@ -215,13 +221,13 @@ def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in _runs(batches):
-            out: list[tuple[bytes, bytes]] = []
-            nodes, side, members = table.column("node").to_pylist(), table.column("side").to_numpy(), table.column("members")
+            out: list[tuple[int, int]] = []
+            side, members = table.column("side").to_numpy(), table.column("members")
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     sets = [np.frombuffer(x, dtype=np.uint64) for x in members.slice(lo, hi - lo).to_pylist()]
-                    out += [(nodes[lo + a], nodes[lo + b]) for a, b in _links(sets, side[lo:hi], percent)]
-            yield _edges(out)
+                    out += [(lo + a, lo + b) for a, b in _links(sets, side[lo:hi], percent)]
+            yield _edges(table, out)
 
     return run
 
@@ -258,20 +264,23 @@ def linked(rows: DataFrame, key: str, payload: str, block: int, compare: Callabl
     whether any group has more than ``block`` rows.
     """
     few = rows.where(F.col("n") <= block).select("node", F.xxhash64(key).alias("task"), F.lit(-1).alias("side"), payload)
-    out = _dealt(few).mapInArrow(compare, "a binary, b binary")
+    out = _dealt(few).mapInArrow(compare, LINK).select("a", "b")
     if not large:
         return out
     big = rows.where(F.col("n") > block)
     parts = _parts("n", block)
     ranked = big.select(key, "node", "n").join(score, "node") if score is not None else big.select(key, "node", "n", F.xxhash64("node", F.lit(1)).alias("score"))
     best = (F.max_by("node", F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PIVOTS)) == q, F.struct("score", "node"))) for q in range(PIVOTS))
-    pivots = ranked.groupBy(key).agg(F.array(*best).alias("pivots")).select(key, F.explode(F.array_compact("pivots")).alias("node"))
+    pivots = ranked.groupBy(key).agg(F.array(*best).alias("pivots"), F.max("n").alias("n")).select(key, "n", F.explode(F.array_compact("pivots")).alias("node"))
+    pivots = common.staged(pivots, f"{label}-chosen")
     many = big.select("node", F.xxhash64(F.col(key), _own(parts)).alias("task"), F.lit(0).alias("side"), payload)
-    held = big.join(pivots, [key, "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    star = common.staged(_dealt(many.unionByName(held.select("node", F.xxhash64(F.col(key), "other").alias("task"), F.lit(1).alias("side"), payload))).mapInArrow(compare, "a binary, b binary"), f"{label}-pivots")
-    pivots = pivots.select(key, F.col("node").alias("root"))
-    ends = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = ends.join(pivots, "root").select(key, "node", "root").unionByName(pivots.select(key, F.col("root").alias("node"), "root")).groupBy(key, "node").agg(F.min("root").alias("root"))
+    places = pivots.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(key, "node", F.xxhash64(F.col(key), "other").alias("task"))
+    held = big.join(places, [key, "node"]).select("node", "task", F.lit(1).alias("side"), payload)
+    star = common.staged(_dealt(many.unionByName(held)).mapInArrow(compare, LINK), f"{label}-pivots")
+    pivots, places = (x.withColumnRenamed("node", "root") for x in (pivots.select(key, "node"), places))
+    ends = star.select(F.col("a").alias("node"), F.col("b").alias("root"), "task").unionByName(star.select(F.col("b").alias("node"), F.col("a").alias("root"), "task"))
+    # a link counts in the group whose task found it: one pivot may serve many groups
+    roots = ends.join(places, ["task", "root"]).select(key, "node", "root").unionByName(pivots.select(key, F.col("root").alias("node"), "root")).groupBy(key, "node").agg(F.min("root").alias("root"))
     rooted = common.staged(big.select("node", key, "n").join(roots, [key, "node"], "left"), f"{label}-rooted")
     counts = rooted.groupBy(key, "root").agg(F.count("*").alias("m"), F.max("n").alias("n"))
     main = counts.groupBy(key).agg(F.max_by("root", F.when(F.col("root").isNotNull(), F.struct("m", "root"))).alias("main"), F.coalesce(F.max(F.when(F.col("root").isNotNull(), F.col("m"))), F.lit(0)).alias("n_main"), F.max("n").alias("n"))
@@ -288,8 +297,8 @@ def linked(rows: DataFrame, key: str, payload: str, block: int, compare: Callabl
         told.where("in_main").withColumn("own", _own(F.col("mains"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("node", key, F.xxhash64(F.col(key), F.lit("main"), "other", "own").alias("task"), F.lit(1).alias("side")),
     ]
     tasks = across[0].unionByName(across[1]).unionByName(across[2]).join(big.select("node", key, payload), ["node", key]).drop(key)
-    met = _dealt(tasks.select("node", "task", F.col("side").cast("int").alias("side"), payload)).mapInArrow(compare, "a binary, b binary")
-    return out.unionByName(star).unionByName(met)
+    met = _dealt(tasks.select("node", "task", F.col("side").cast("int").alias("side"), payload)).mapInArrow(compare, LINK)
+    return out.unionByName(star.select("a", "b")).unionByName(met.select("a", "b"))
 
 
 def _read(docs: DataFrame) -> DataFrame:

@@ -531,6 +531,32 @@ def test_large_groups_lose_no_link(monkeypatch, spark):
     assert sorted(str(r[2]) for r in out if r[0] is None) == ["0", "0"] and not any(r[3] for r in out if r[0] is None)
 
 
+def join_rows(spark, run):
+    """Rows that each join made while ``run`` ran, by Spark's own counts, most first; its result."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, result, made = store.executionsCount(), run(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for x in range(before, store.executionsCount()):
+        at = store.executionsList().apply(x).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name():
+                ids = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                made += [(int(values.get(m.accumulatorId()).get().replace(",", "")), node.desc()) for m in ids if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return sorted(made, reverse=True), result
+
+
+def test_pivots_of_many_bands_are_joined_once_a_band(monkeypatch, spark):
+    """Near copies meet in nearly all bands under the same pivots: a link found in one band is no row of all others."""
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 20)
+    base = text(72, 400).split()
+    rows = list(enumerate([" ".join(base), *near_copies(np.random.default_rng(3), base, 60, 1, "g")]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, out = join_rows(spark, lambda: neardup.groups(df).collect())
+    assert sorted(tuple(r) for r in out) == brute_groups(rows)
+    assert made and made[0][0] <= 2 * neardup.BANDS * len(rows), made[0]
+
+
 def test_odd_sketches_stay_below_their_bound():
     rng = np.random.default_rng(2)
     bound = neardup.sketch_bound(0.85)
