@@ -324,17 +324,18 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     keys = classes.select("node", F.explode("bands").alias("band"))
     full = common.staged(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "neardup-bands")
-    met = keys.join(full, "band").join(classes.select("node", "sketch"), "node")
+    shared = common.staged(common.among(keys, "band", full).join(full, "band"), "neardup-shared")
+    met = shared.join(classes.select("node", "sketch"), "node")
     above = lambda sizes, block: bool(sizes.where(F.col("n") > block).limit(1).count())
     near = linked(met, "band", "sketch", SKETCH_BLOCK, _near_sketches(sketch_bound(percent / 100)), "neardup-sketches", above(full, SKETCH_BLOCK))
     clusters = common.components(near, "neardup-near")
     sized = clusters.groupBy("root").agg(F.count("*").alias("n"))
     wanted = clusters.join(sized, "root").join(classes.select("node", "rid"), "node").select("rid", "node", F.col("root").alias("cluster"), "n")
-    sets = _read(docs).select("rid", "text").join(wanted, "rid").select("node", "cluster", "n", "text").mapInArrow(_members, "node binary, cluster binary, n long, members binary")
+    sets = common.among(_read(docs).select("rid", "text"), "rid", wanted).join(wanted, "rid").select("node", "cluster", "n", "text").mapInArrow(_members, "node binary, cluster binary, n long, members binary")
     score, large = None, above(sized, SET_BLOCK)
     if large:
         sets = common.staged(sets, "neardup-sets")
-        score = keys.join(full, "band").groupBy("node").agg(F.sum("n").alias("score"))  # the original of many copies shares bands with most
+        score = shared.groupBy("node").agg(F.sum("n").alias("score"))  # the original of many copies shares bands with most
     exact = linked(sets, "cluster", "members", SET_BLOCK, _exact(percent), "neardup-sets", large, score)
     links = common.components(exact, "neardup-links")
     named = links.join(classes.select("node", "least_id"), "node")

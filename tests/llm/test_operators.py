@@ -531,8 +531,8 @@ def test_large_groups_lose_no_link(monkeypatch, spark):
     assert sorted(str(r[2]) for r in out if r[0] is None) == ["0", "0"] and not any(r[3] for r in out if r[0] is None)
 
 
-def join_rows(spark, run):
-    """Rows that each join made while ``run`` ran, by Spark's own counts, most first; its result."""
+def counted(spark, run, operator, metric):
+    """What each ``operator`` counted as ``metric`` while ``run`` ran, by Spark's own counts, most first; its result."""
     store = spark._jsparkSession.sharedState().statusStore()
     before, result, made = store.executionsCount(), run(), []
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
@@ -540,9 +540,9 @@ def join_rows(spark, run):
         at = store.executionsList().apply(x).executionId()
         values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
         for node in (nodes.apply(k) for k in range(nodes.size())):
-            if "Join" in node.name():
+            if operator in node.name():
                 ids = [node.metrics().apply(k) for k in range(node.metrics().size())]
-                made += [(int(values.get(m.accumulatorId()).get().replace(",", "")), node.desc()) for m in ids if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+                made += [(int(values.get(m.accumulatorId()).get().replace(",", "")), node.desc()) for m in ids if m.name() == metric and values.contains(m.accumulatorId())]
     return sorted(made, reverse=True), result
 
 
@@ -552,11 +552,37 @@ def test_pivots_of_many_bands_are_joined_once_a_band(monkeypatch, spark):
     base = text(72, 400).split()
     rows = list(enumerate([" ".join(base), *near_copies(np.random.default_rng(3), base, 60, 1, "g")]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    made, out = join_rows(spark, lambda: neardup.groups(df).collect())
+    made, out = counted(spark, lambda: neardup.groups(df).collect(), "Join", "number of output rows")
     assert sorted(tuple(r) for r in out) == brute_groups(rows)
     assert made and made[0][0] <= 2 * neardup.BANDS * len(rows), made[0]
 
 
+def test_only_rows_of_groups_are_shuffled(spark):
+    """Texts and bands that meet no other stay where they are, but for one count of the bands."""
+    rows = list(enumerate([text(800 + k, 40) for k in range(300)] + near_copies(np.random.default_rng(4), text(73, 200).split(), 3, 1, "g")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt, out = counted(spark, lambda: neardup.groups(df).collect(), "Exchange", "shuffle records written")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(tuple(r) for r in out) == brute_groups(rows)
+    by = lambda key: sum(n for n, what in dealt if f"hashpartitioning({key}#" in what)
+    assert 0 < by("rid") <= 30 and 0 < by("band") <= neardup.BANDS * len(rows) * 11 // 10, (by("rid"), by("band"))
+
+
+def test_among_keeps_every_key(monkeypatch, spark):
+    """Also when the filter has far fewer bits than there are keys, with null, negative and repeated ones."""
+    rows = spark.range(-500, 500).select(F.col("id").alias("k"), F.lit("x").alias("v")).unionByName(spark.sql("SELECT CAST(NULL AS long) AS k, 'y' AS v"))
+    keys = spark.range(-200, 200).select(F.col("id").alias("k")).unionByName(spark.range(-3, 3).select(F.col("id").alias("k")))
+    for bits, most in ((25, 410), (8, 1001)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        out = [r.k for r in common.among(rows, "k", keys).collect()]
+        assert set(range(-200, 200)) <= set(out) and len(out) == len(set(out)) <= most
+    assert common.among(rows, "k", keys.limit(0)).count() == 0 and common.among(rows, "k", keys).columns == ["k", "v"]
+
+
 def test_odd_sketches_stay_below_their_bound():
     rng = np.random.default_rng(2)
     bound = neardup.sketch_bound(0.85)
