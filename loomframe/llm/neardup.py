@@ -315,7 +315,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     gives no component its name; kept is true where doc_id is component_id, and where neither is known. Other columns of ``docs``
     are ignored; repeated rows stay repeated.
     """
-    sig = common.staged(_read(docs).select("doc_id", "text", "rid").mapInArrow(_signatures, SIGNATURE), "neardup-sig")
+    with common.small_batches(docs.sparkSession):
+        sig = common.staged(_read(docs).select("doc_id", "text", "rid").mapInArrow(_signatures, SIGNATURE), "neardup-sig")
     classes = common.staged(
         sig.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(
             F.min("doc_id").alias("least_id"), F.min("rid").alias("rid"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"), F.collect_set("salt").alias("salts"),
@@ -333,11 +334,12 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     wanted = clusters.join(sized, "root").join(classes.select("node", "rid"), "node").select("rid", "node", F.col("root").alias("cluster"), "n")
     sets = common.among(_read(docs).select("rid", "text"), "rid", wanted).join(wanted, "rid").select("node", "cluster", "n", "text").mapInArrow(_members, "node binary, cluster binary, n long, members binary")
     score, large = None, above(sized, SET_BLOCK)
-    if large:
-        sets = common.staged(sets, "neardup-sets")
-        score = shared.groupBy("node").agg(F.sum("n").alias("score"))  # the original of many copies shares bands with most
-    exact = linked(sets, "cluster", "members", SET_BLOCK, _exact(percent), "neardup-sets", large, score)
-    links = common.components(exact, "neardup-links")
+    with common.small_batches(docs.sparkSession):
+        if large:
+            sets = common.staged(sets, "neardup-sets")
+            score = shared.groupBy("node").agg(F.sum("n").alias("score"))  # the original of many copies shares bands with most
+        exact = linked(sets, "cluster", "members", SET_BLOCK, _exact(percent), "neardup-sets", large, score)
+        links = common.components(exact, "neardup-links")
     named = links.join(classes.select("node", "least_id"), "node")
     joined = links.join(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id")
     copies = classes.where("copies > 1").join(joined, "node", "left_anti").select("node", F.col("least_id").alias("component_id"))

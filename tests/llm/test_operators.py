@@ -773,3 +773,36 @@ def test_pipeline_like_brute_force(spark):
     rows = [(f"{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}", r.text, r.source) for r in clean.collect()]
     assert ids(mixed) == sorted(int(key.split(":")[0]) for key, _, _, repeats in brute_mix(rows, queries.MIX_WEIGHTS) for _ in range(repeats))
     assert corpus_pipeline.shard(spark, mixed, SF).count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    def spied(name):
+        inner, path = getattr(neardup, name), str(tmp_path / name)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    with open(path, "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return inner(seen())
+
+        monkeypatch.setattr(neardup, name, run)
+
+    spied("_signatures")
+    spied("_members")
+    rows = [(k, text(900 + k // 2, 1500) + " x" * 20000) for k in range(300)]  # 45 KB each, pairs of equal words
+    rows = [(k, t + f" last{k}") for k, t in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.component_id for r in neardup.groups(frame).collect()}
+    assert out == {k: k - k % 2 for k in range(300)}
+    for name in ("_signatures", "_members"):
+        sizes = [int(x) for x in (tmp_path / name).read_text().split()]
+        assert max(sizes) < 2 * common.BATCH_BYTES, name
+    assert spark.conf.get(common.BATCH, None) is None
+    spark.conf.set(common.BATCH, "32m")
+    with common.small_batches(spark):
+        assert spark.conf.get(common.BATCH) == "32m"  # a session's own bound stays
+    assert spark.conf.get(common.BATCH) == "32m"
+    spark.conf.unset(common.BATCH)
