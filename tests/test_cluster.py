@@ -19,8 +19,10 @@ from loomframe.plans import catalogue, catalogue_io
 name, sf, at = sys.argv[1:]
 conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": f"{at}/warehouse", "spark.checkpoint.dir": f"file://{at}/shared"}
 spark = SparkSession.builder.config(map=conf).getOrCreate()
-catalogue.QUERIES[name](spark, sf).write.parquet(f"{at}/out")
-spark.stop()
+try:
+    catalogue.QUERIES[name](spark, sf).write.parquet(f"{at}/out")
+finally:  # else what the cluster says of its end hides the error
+    spark.stop()
 """
 
 
@@ -32,7 +34,7 @@ def on_cluster(name, sf, at):
     env = os.environ | {"SPARK_HOME": f"{at}/home", "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": f"{at}/local", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
     env.pop("PYSPARK_GATEWAY_PORT", None)
     done = subprocess.run([sys.executable, "-c", RUN, name, str(sf), str(at)], env=env, cwd=at, capture_output=True, text=True, timeout=300)
-    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.returncode == 0, "\n".join(x for x in done.stderr.splitlines() if not x.lstrip().startswith(("at ", "...")))[-3000:]
     return f"{at}/out/*.parquet"
 
 
